@@ -17,6 +17,31 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` packed into sequences of 4096 tokens."""
+    import public_tokenizers
+
+    from lumenfold.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
+def op3_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as token ids in sorted-string-table shards, read back."""
+    import public_tokenizers
+
+    from lumenfold.llm.sstable import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50_257, end_id=0)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of ``documents`` without 50-word windows of earlier ones."""
+    from lumenfold.llm.substring import digest
+
+    return digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
