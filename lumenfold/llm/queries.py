@@ -42,9 +42,54 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text of ``documents``."""
+    from lumenfold.llm.language import held_out, identify, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    judged = identify(docs.select("doc_id", "text"), learn(docs))
+    return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
+
+
+#: The rules of op6: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+OP6_SQL = """
+WITH parsed AS (
+  SELECT page_id, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS at FROM pages
+), parts AS (
+  SELECT row_number() OVER () AS rid, page_id,
+    CASE WHEN at > 0 THEN translate(regexp_extract(substr(url, at + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN at > 0 THEN regexp_extract(substr(url, at + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM parsed
+), rules(rhost, rpath, rverdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), fit AS (
+  SELECT rid, rhost || rpath AS rule, rverdict, row_number() OVER (PARTITION BY rid ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS k
+  FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+)
+SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM parts LEFT JOIN (SELECT * FROM fit WHERE k = 1) f USING (rid)
+"""
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allow and block rules over the urls of ``pages``."""
+    from lumenfold.llm.urlfilter import filter_urls
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return filter_urls(_table(spark, sf_dir, "pages"), rules)
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page of ``pages``."""
+    from lumenfold.llm.html import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op6_url_filter": OP6_SQL}
