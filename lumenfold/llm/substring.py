@@ -98,17 +98,34 @@ def _local(h: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sure, order[at[many]]
 
 
-_NOMINEES = "doc_id long, th long, pos int, h long, sure boolean"
+_NOMINEES = "doc_id long, th long, pos array<int>, h long, sure boolean"
+
+
+def _grouped(own: np.ndarray, pos: np.ndarray, *hashes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """One entry per distinct hash of a row: where it stands first in the arrays, and all its positions as lists."""
+    order = np.lexsort((pos, *hashes, own))
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = own[order][1:] != own[order][:-1]
+        for h in hashes:
+            new[1:] |= h[order][1:] != h[order][:-1]
+    at = np.flatnonzero(new)
+    return order[at], pa.ListArray.from_arrays(pa.array(np.concatenate([at, [len(order)]]), pa.int32()), pa.array(pos[order], pa.int32()))
 
 
 def _nominated(doc: np.ndarray, th: np.ndarray, own: np.ndarray, pos: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-    """Rows for the shuffle by h.  A nominee known to repeat travels under a hash of its own; its hash goes once, without a document."""
+    """Rows for the shuffle by h, one per document and hash.
+
+    A nominee known to repeat travels under a hash of its own; its hash goes once, without a document.
+    """
+    one, lists = _grouped(own, pos, h)
+    own, first, h = own[one], pos[one], h[one]
     sure, heads = _local(h, doc[own]) if len(h) else (np.zeros(0, bool), np.zeros(0, np.int64))
-    key = np.where(sure, mix(doc[own].view(np.uint64) * _U(0x100000001B3) + pos.astype(np.uint64)), h)
+    key = np.where(sure, mix(doc[own].view(np.uint64) * _U(0x100000001B3) + first.astype(np.uint64)), h)
     none = np.concatenate([np.zeros(len(h), bool), np.ones(len(heads), bool)])
     both = np.concatenate([np.arange(len(h)), heads])
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc[own][both], mask=none), pa.array(th[own][both]), pa.array(pos[both], pa.int32()), pa.array(np.concatenate([key, h[heads]]).view(np.int64)), pa.array(np.concatenate([sure, np.ones(len(heads), bool)]))],
+        [pa.array(doc[own][both], mask=none), pa.array(th[own][both]), lists.take(pa.array(both)), pa.array(np.concatenate([key, h[heads]]).view(np.int64)), pa.array(np.concatenate([sure, np.ones(len(heads), bool)]))],
         names=["doc_id", "th", "pos", "h", "sure"],
     )
 
@@ -132,13 +149,13 @@ def _first(width: int, length: int):
             docs = np.where(known, docs, 0).astype(np.int64)
             mine = known[own]
             pos, h, own = pos[mine], h[mine], own[mine]
+            one, where = _grouped(own, pos - w.at[:-1][own], h)
+            h, own = h[one], own[one]
             sure, heads = _local(h, docs[own]) if len(h) else (np.zeros(0, bool), np.zeros(0, np.int64))
-            n = np.bincount(own, minlength=rows.num_rows)
-            ptr = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
             head = np.zeros(len(h), bool)
             head[heads] = True
-            local = pos - w.at[:-1][own]
-            lists = [pa.ListArray.from_arrays(ptr, pa.array(x)) for x in (local.astype(np.int32), h.view(np.int64), sure, head)]
+            ptr = pa.array(np.concatenate([[0], np.cumsum(np.bincount(own, minlength=rows.num_rows))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ptr, x if isinstance(x, pa.Array) else pa.array(x)) for x in (where, h.view(np.int64), sure, head)]
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), rows.column(1), pa.array(w.count), pa.array(sha), *(pa.array(x.view(np.int64)) for x in whole), *lists],
                 names=["doc_id", "th", "n_words", "sha", "h1", "h2", "pos", "h", "sure", "head"],
@@ -147,7 +164,7 @@ def _first(width: int, length: int):
     return run
 
 
-_FIRST = "doc_id long, th long, n_words long, sha string, h1 long, h2 long, pos array<int>, h array<long>, sure array<boolean>, head array<boolean>"
+_FIRST = "doc_id long, th long, n_words long, sha string, h1 long, h2 long, pos array<array<int>>, h array<long>, sure array<boolean>, head array<boolean>"
 
 
 def _survivors(rows: pa.RecordBatch, w: Words) -> np.ndarray:
@@ -169,7 +186,7 @@ def _next(width: int, before: int, length: int):
     return run
 
 
-_LAST = "doc_id long, th long, pos int, len int, h1 long, h2 long, sure boolean"
+_LAST = "doc_id long, th long, pos array<int>, len int, h1 long, h2 long, sure boolean"
 
 
 def _last(width: int, before: int):
@@ -197,13 +214,17 @@ def _last(width: int, before: int):
                 size = np.diff(np.concatenate([np.flatnonzero(cut), [len(s)]]))
             else:
                 begin, size = s, s
+            # the others once per document and hash, with all their positions
             ask = np.flatnonzero(~sure)
+            one, lists = _grouped(own[ask], pos[ask] - w.at[:-1][own[ask]], h1[ask], h2[ask])
+            ask = ask[one]
             at = np.concatenate([ask, begin])
-            local = pos[at] - w.at[:-1][own[at]]
-            key = mix(d[begin].view(np.uint64) ^ mix(local[len(ask) :].astype(np.uint64)))
+            run_pos = pos[begin] - w.at[:-1][own[begin]]
+            key = mix(d[begin].view(np.uint64) ^ mix(run_pos.astype(np.uint64)))
+            runs = pa.ListArray.from_arrays(pa.array(np.arange(len(begin) + 1), pa.int32()), pa.array(run_pos, pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(d[at]), pa.array(th[own[at]]), pa.array(local, pa.int32()), pa.array(np.concatenate([np.ones(len(ask), np.int64), size]), pa.int32()),
+                    pa.array(d[at]), pa.array(th[own[at]]), pa.concat_arrays([lists, runs]), pa.array(np.concatenate([np.ones(len(ask), np.int64), size]), pa.int32()),
                     pa.array(np.concatenate([h1[ask], key]).view(np.int64)), pa.array(np.concatenate([h2[ask], mix(key)]).view(np.int64)), pa.array(np.concatenate([np.zeros(len(ask), bool), np.ones(len(begin), bool)])),
                 ],
                 names=["doc_id", "th", "pos", "len", "h1", "h2", "sure"],
@@ -222,8 +243,9 @@ def _cut(width: int):
                 n = int(at[i + 1] - at[i])
                 mark = np.zeros(n + 1, np.int64)
                 for r in runs:
-                    mark[r["pos"]] += 1
-                    mark[r["pos"] + r["len"] + width - 1] -= 1
+                    for p in r["pos"]:
+                        mark[p] += 1
+                        mark[p + r["len"] + width - 1] -= 1
                 kept = np.flatnonzero(np.cumsum(mark)[:n] == 0) + at[i]
                 gone.append(n - len(kept))
                 texts.append(b" ".join(raw[a:b] for a, b in zip(starts[kept].tolist(), ends[kept].tolist(), strict=True)))
@@ -239,7 +261,7 @@ def _repeated(nominees: DataFrame) -> DataFrame:
     """Nominees that occur in two documents at least, by document."""
     by = Window.partitionBy("h")
     met = nominees.select("*", (F.max("sure").over(by) | (F.min("doc_id").over(by) < F.max("doc_id").over(by))).alias("met"))
-    return met.filter("met and doc_id is not null").groupBy("doc_id", "th").agg(F.collect_list("pos").alias("pos"))
+    return met.filter("met and doc_id is not null").groupBy("doc_id", "th").agg(F.flatten(F.collect_list("pos")).alias("pos"))
 
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -260,7 +282,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     status = hot_lookup(seen.select("doc_id", "th", "n_words", "sha", "h1", "h2"), copies, ["h1", "h2"], "n", "th", ["first"])
     status = materialize(status.select("doc_id", "th", "n_words", "sha", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy")), "status")
     each = seen.filter("size(pos) > 0").select("doc_id", "th", F.explode(F.arrays_zip("pos", "h", "sure", "head")).alias("x"))
-    own = F.when(F.col("x.sure"), F.xxhash64("doc_id", "x.pos")).otherwise(F.col("x.h"))
+    own = F.when(F.col("x.sure"), F.xxhash64("doc_id", "x.h")).otherwise(F.col("x.h"))
     once = F.when(F.col("x.head"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     rows = each.select("doc_id", "th", "x", F.explode(once).alias("bare")).select(
         F.when(~F.col("bare"), F.col("doc_id")).alias("doc_id"), "th", F.col("x.pos").alias("pos"), F.when(F.col("bare"), F.col("x.h")).otherwise(own).alias("h"), F.col("x.sure").alias("sure")
