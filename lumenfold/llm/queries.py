@@ -51,16 +51,44 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
 
 
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s
+)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
+"""
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of every row of ``embeddings`` for each 50th."""
+    from lumenfold.llm.topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among ``embeddings`` at cosine 0.9."""
+    from lumenfold.llm.embedding import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 #: The rules of op6: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 OP6_SQL = """
 WITH parsed AS (
-  SELECT page_id, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS at FROM pages
+  SELECT page_id, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS pos FROM pages
 ), parts AS (
   SELECT row_number() OVER () AS rid, page_id,
-    CASE WHEN at > 0 THEN translate(regexp_extract(substr(url, at + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-    CASE WHEN at > 0 THEN regexp_extract(substr(url, at + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+    CASE WHEN pos > 0 THEN translate(regexp_extract(substr(url, pos + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN pos > 0 THEN regexp_extract(substr(url, pos + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
   FROM parsed
 ), rules(rhost, rpath, rverdict) AS (
   VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
@@ -80,6 +108,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every row of ``documents``."""
+    from lumenfold.llm.mixing import mix_sources
+
+    mixed = mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page of ``pages``."""
     from lumenfold.llm.html import extract
@@ -92,4 +128,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_url_filter": OP6_SQL}
+    return {"op5_top_k": OP5_SQL, "op6_url_filter": OP6_SQL}
