@@ -70,7 +70,7 @@ def hot_lookup(rows: DataFrame, table: DataFrame, key: list[str], count: str, sp
     """
     total = table.agg(F.coalesce(F.sum(count), F.lit(0)).alias("t")).first()["t"]
     hot = table.filter(F.col(count) > F.lit(total * HOT_SHARE)).select(*[F.col(k).alias(f"__h_{k}") for k in key], *[F.col(v).alias(f"__h_{v}") for v in values], F.lit(True).alias("__h"))
-    cold = table.filter(F.col(count) <= F.lit(total * HOT_SHARE)).select(*[F.col(k).alias(f"__c_{k}") for k in key], *[F.col(v).alias(f"__c_{v}") for v in values], F.lit(0).cast("long").alias("__c_way"))
+    cold = table.filter(F.col(count) <= F.lit(total * HOT_SHARE)).select(*[F.col(k).alias(f"__c_{k}") for k in key], *[F.col(v).alias(f"__c_{v}") for v in values], F.least(F.col(count), F.lit(0)).cast("long").alias("__c_way"))  # 0, but no literal: it must stay part of the join key
     met = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"__h_{k}") for k in key], "left")
     met = met.withColumn("__way", F.when(F.col("__h"), F.xxhash64(F.col(spread)).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
     out = met.join(cold, [F.col("__way") == F.col("__c_way"), *[F.col(k) == F.col(f"__c_{k}") for k in key]], "left")
