@@ -174,3 +174,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     whole = F.floor(F.col("rate") + _EDGE).cast("long")
     extra = F.coalesce("drawn", F.lit(0))
     return out.select("unit", "doc_id", "source", "size", "source_size", "target", (whole + extra).alias("copies"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as its copies say, the others gone."""
+    unit = F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))
+    taken = mix_sources(docs, weights, share, most, unit).filter("copies > 0").groupBy("unit").agg(F.max("copies").cast("int").alias("__copies"))
+    keyed = docs.withColumn("__unit", unit).join(taken.withColumnRenamed("unit", "__taken"), F.col("__unit") == F.col("__taken"))
+    return keyed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
