@@ -1 +1 @@
-
+"""Column expressions and parameters of the dip search."""

@@ -1 +1 @@
-
+"""Operators on light curves: DataFrame in, DataFrame out."""
