@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,23 @@ from pyspark.sql import functions as F
 #: A key is hot if it holds more than this share of the rows; so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 1 / 1000
 
+#: A graph of so many edges after the first contraction is finished by one task; its memory is bounded by this.
+ONE_TASK_EDGES = 100_000
+#: Rows and bytes of an Arrow batch between the JVM and Python at most: what a task holds beside its own work.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Make the session's Arrow batches no larger than BATCH_ROWS and BATCH_BYTES; smaller settings stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most or not spark.conf.get(key).rstrip("b").isdigit():
+            spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; own only where that is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -111,7 +126,8 @@ def _forest(batches):
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (its first two long columns); component is the least node reachable.
 
-    Each partition first reduces its own edges to a forest.  Then large-star and small-star steps alternate, each
+    Each partition first reduces its own edges to a forest.  If that leaves ONE_TASK_EDGES at most, one task does the
+    same with them all.  Else large-star and small-star steps alternate, each
     written to the shared folder, until nothing changes; a hub's neighbours travel by :func:`hot_lookup`.
     Self loops and repeated edges count for nothing; no edges give no rows.
     """
@@ -123,7 +139,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return r["n"], r["h"]
 
     before = signature(cur)
-    while before[0]:
+    if before[0] <= ONE_TASK_EDGES:
+        cur = materialize(cur.coalesce(1).mapInArrow(_forest, "u long, v long"), "cc")
+    while before[0] > ONE_TASK_EDGES:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = hot_lookup(both, least, ["u"], "n", "v", ["m"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

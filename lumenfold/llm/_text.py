@@ -6,6 +6,8 @@ inside a character, so bytes suffice.  Texts are worked on whole, a few MB of ro
 
 from __future__ import annotations
 
+import ctypes
+import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that the kernels hold at a time (a longer row alone is held whole).
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -26,6 +28,51 @@ _LOWER[65:91] = _TABLE[97:123]
 _powers: dict[int, np.ndarray] = {}
 
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 1 << 20)  # arrays from 1 MB on are mapped, so that their memory goes back when they are freed
+except OSError:  # another C library: memory stays with the worker
+    _libc = None
+
+
+def trim() -> None:
+    """Give memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+#: What a worker keeps from task to task, by the operator it belongs to: a function that drops it.
+kept: dict[str, object] = {}
+
+
+#: Seconds without a task after which a worker drops what it keeps.
+IDLE = 4.0
+_timer: list[threading.Timer] = []
+
+
+def _drop(spared: str | None = None) -> None:
+    for other in [k for k in kept if k != spared]:
+        kept.pop(other)()
+    trim()
+
+
+def tenant(name: str) -> None:
+    """Called when a task begins: what other operators' tasks have kept in this worker goes."""
+    while _timer:
+        _timer.pop().cancel()
+    _drop(name)
+
+
+def rest() -> None:
+    """Called when a task ends: what is kept goes too if no task comes soon."""
+    trim()
+    if kept and not _timer:
+        _timer.append(threading.Timer(IDLE, _drop))
+        _timer[0].daemon = True
+        _timer[0].start()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -63,13 +110,17 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of whole rows with about ``limit`` bytes of ``text``: (rows, bytes, offsets)."""
-    for batch in batches:
-        data, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
-            yield batch.slice(at, end - at), data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
-            at = end
+    try:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+                yield batch.slice(at, end - at), data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
+                at = end
+            trim()
+    finally:
+        rest()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm._spark import connected_components, hot_lookup, materialize
+from lumenfold.llm._spark import bound_batches, connected_components, hot_lookup, materialize
 from lumenfold.llm._vectors import matrix, packed
 
 BLOCK_ROWS, LEAF_ROWS = 4096, 512
@@ -196,6 +196,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     lengths or rows without vec_id (component_id null, kept true).  Rows that repeat a vec_id are rows of one vector.
     """
     eps = float(np.sqrt(2 - 2 * cosine))
+    bound_batches(vectors.sparkSession)
     rows, kind = packed(vectors, zero=False)
     rows = materialize(rows.select("*", F.xxhash64("raw").alias("h1"), F.xxhash64("dims", "raw").alias("h2")), "vectors")
     classes = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("n"))

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm._spark import bound_batches
 from lumenfold.llm._text import pieces
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -241,6 +242,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Null and empty pages, and pages without article text, have an empty text.  Rows may repeat; null page_id and url
     stay null.  Other columns are ignored.
     """
+    bound_batches(pages.sparkSession)
     kind = dict(pages.dtypes)["page_id"]
     typed = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return typed.mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")

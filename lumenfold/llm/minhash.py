@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm._spark import connected_components, hot_lookup, materialize
-from lumenfold.llm._text import mix, pieces, row_of, word_hashes, words
+from lumenfold.llm._spark import bound_batches, connected_components, hot_lookup, materialize
+from lumenfold.llm._text import mix, pieces, row_of, tenant, word_hashes, words
 
 CHUNKS, CHUNK_SYMBOLS, ERRORS = 10, 7, 1
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
@@ -84,6 +84,7 @@ def signatures(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _signed(width: int):
     def run(batches):
+        tenant("minhash")
         for rows, data, offsets in pieces(batches, "text"):
             values, begin = shingles(data, offsets, width)
             h1, h2, sig = signatures(values, begin)
@@ -189,6 +190,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows of one document.  A null doc_id cannot be named in a link: component_id is null, kept true.
     Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signed(width), SIGNATURES), "signatures")
     sets = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("cls"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"))

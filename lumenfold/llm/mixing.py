@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm._spark import hot_lookup, materialize
-from lumenfold.llm._text import mix, pieces, words
+from lumenfold.llm._spark import bound_batches, materialize
+from lumenfold.llm._text import mix, pieces, tenant, words
 
 BLOCK = 2_000
 #: The columns of a unit on its way: a document, its words, its probability.
@@ -29,6 +29,7 @@ _EDGE = 1e-9
 
 
 def _counted(batches):
+    tenant("mixing")
     for rows, data, offsets in pieces(batches, "text"):
         _, _, at = words(data, offsets)
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(np.diff(at))], names=["unit", "doc_id", "source", "size"])
@@ -144,6 +145,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     ``unit`` must differ between rows and be the same in reruns; by default a hash of doc_id and text, so rows
     equal in both share their fate.  Sources and their sizes (a row per source) go to the driver.
     """
+    bound_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     unit = F.xxhash64(F.col("doc_id"), text) if unit is None else unit
     sized = docs.select(unit.alias("unit"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"))

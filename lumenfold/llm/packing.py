@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm._spark import materialize
+from lumenfold.llm._spark import bound_batches, materialize
 from lumenfold.llm._text import pieces as slices
 from lumenfold.llm._tokens import encoder
 
@@ -115,6 +115,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096,
     null.  Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset; no rows give none.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = materialize(typed.mapInArrow(_tokenized(tokenizer, keep_space, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, part int"), "pieces")
     by_part = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))

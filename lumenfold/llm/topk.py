@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm._spark import materialize
+from lumenfold.llm._spark import bound_batches, materialize
 from lumenfold.llm._vectors import matrix, packed
 
 GROUP_ROWS, QUERY_ROWS = 4096, 512
@@ -91,6 +91,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256) -
     non-finite components take no part, nor rows without vec_id; vectors of different lengths don't meet.
     Rows that repeat a vec_id are candidates each, but one query if they are equal.
     """
+    bound_batches(vectors.sparkSession)
     rows, kind = packed(vectors, scale)
     rows = materialize(rows, "vectors")
     count = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
