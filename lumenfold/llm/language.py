@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm._text import mix, pieces
+from lumenfold.llm._spark import bound_batches
+from lumenfold.llm._text import mix, pieces, tenant
 
 ORDER = 4
 SAMPLE_DOCUMENTS = 1000
@@ -157,7 +158,9 @@ def _look(table: np.ndarray, values: np.ndarray, keys: np.ndarray, default: floa
 def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> Model:
     """The model of ``counts``: for each language its n-grams (a row of code points each) and how often each occurs."""
     model = Model(sorted(counts), order)
-    alphabet = np.unique(np.concatenate([g[:, -1] for g, _ in counts.values()])) if counts else np.zeros(0)
+    if not counts:
+        return model
+    alphabet = np.unique(np.concatenate([g[:, -1] for g, _ in counts.values()]))
     model.unseen = -np.log(len(alphabet) + 1.0)
     lower: list = [None] * len(model.languages)  # (hashes, probabilities) of the next shorter order
     for k in range(order):
@@ -208,6 +211,7 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER) ->
 
 def _counted(order: int):
     def run(batches):
+        tenant("language")
         for rows, _, _ in pieces(batches, "text"):
             texts, names = rows.column(0).to_pylist(), rows.column(1).to_pylist()
             for name in sorted(set(names)):
@@ -231,6 +235,7 @@ ADDED = {"lang_pred": "string", "score": "double", "cross_entropy": "double", "a
 
 def _judged(shared, columns: list[str]):
     def run(batches):
+        tenant("language")
         model: Model = shared.value
         for rows, _, _ in pieces(batches, "text"):
             texts = rows.column(rows.schema.get_field_index("text")).to_pylist()
@@ -255,6 +260,7 @@ def _judged(shared, columns: list[str]):
 def _apply(docs: DataFrame, model: Model) -> DataFrame:
     if model.size() > MAX_MODEL:
         raise ValueError(f"the model has {model.size()} bytes; at most {MAX_MODEL} may be sent to the executors")
+    bound_batches(docs.sparkSession)
     typed = docs.withColumn("text", F.col("text").cast("string"))
     columns = [c for c in typed.columns if c not in ADDED]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in typed.select(*columns).schema] + [f"{c} {t}" for c, t in ADDED.items()])
@@ -271,6 +277,7 @@ def learn(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE_DOCUMENTS) -
 
     ``sample`` bounds the expected rows a language.  Rows whose doc_id, text or lang is null teach nothing.
     """
+    bound_batches(docs.sparkSession)
     labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and text is not null and lang is not null").filter(~held_out())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))

@@ -10,11 +10,50 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_REACH = """links2 AS (SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT x, y FROM links2 UNION SELECT r.x, l.y FROM reach r JOIN links2 l ON l.x = r.y)"""
+
+OP1_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, ws[p] || ' ' || ws[p + 1] AS s FROM w, LATERAL (SELECT unnest(range(1, len(w.ws))) AS p) UNION SELECT doc_id, ws[1] FROM w WHERE len(ws) = 1
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+{_REACH}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+OP4_SQL = """
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), win AS (
+  SELECT doc_id, p, array_to_string(ws[p:p + 49], ' ') AS k FROM w, LATERAL (SELECT unnest(range(1, greatest(1, len(w.ws) - 48))) AS p)
+), first AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, p + j AS i FROM win JOIN first USING (k), range(0, 50) t(j) WHERE doc_id > m),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+kept AS (SELECT e.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY e.i) AS t FROM each e ANTI JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+OP10_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id < q.vec_id AND list_cosine_similarity(p.e, q.e) >= 0.9),
+{_REACH}
+SELECT d.vec_id, (SELECT count(*) FROM links2 l WHERE l.x = d.vec_id) AS n_links, least(d.vec_id, coalesce(min(r.y), d.vec_id)) AS component_id, d.vec_id = least(d.vec_id, coalesce(min(r.y), d.vec_id)) AS kept
+FROM embeddings d LEFT JOIN reach r ON r.x = d.vec_id GROUP BY d.vec_id
+"""
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of ``documents`` on 2-word shingles at similarity 0.8."""
     from lumenfold.llm.minhash import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,4 +167,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_top_k": OP5_SQL, "op6_url_filter": OP6_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op10_embedding_near_dedup": OP10_SQL, "op5_top_k": OP5_SQL, "op6_url_filter": OP6_SQL}

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm._spark import hot_lookup, materialize
-from lumenfold.llm._text import mix, pieces, row_of, window_hashes, word_hashes, words
+from lumenfold.llm._spark import bound_batches, hot_lookup, materialize
+from lumenfold.llm._text import mix, pieces, row_of, tenant, window_hashes, word_hashes, words
 
 WIDTH = 50
 SECOND = 0x6C62272E07BB0142
@@ -32,7 +32,7 @@ _TOP = np.iinfo(np.uint64).max
 def lengths(width: int) -> list[int]:
     """The lengths of the levels, shortest first; each at most doubles."""
     out = [width]
-    while out[0] > 16:
+    while len(out) < 2 or out[0] > 16:
         out.insert(0, -(-out[0] // 2))
     return out
 
@@ -132,6 +132,7 @@ def _nominated(doc: np.ndarray, th: np.ndarray, own: np.ndarray, pos: np.ndarray
 
 def _first(width: int, length: int):
     def run(batches):
+        tenant("substring")
         for rows, data, offsets in pieces(batches, "text"):
             w = Words(data, offsets, width)
             whole = [np.zeros(rows.num_rows, np.uint64) for _ in range(2)]
@@ -273,6 +274,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     Null texts have no words.  Rows of one doc_id never remove each other's words.  A null doc_id is smaller than none
     and larger than none: its row keeps all.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("th"), F.col("text").cast("string").alias("text"))
     first, *middle, _ = lengths(width)
     seen = materialize(texts.mapInArrow(_first(width, first), _FIRST), "level")
