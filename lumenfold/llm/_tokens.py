@@ -1,7 +1,8 @@
-"""Token ids of whole texts by a public tokenizer file, with a cache of the pieces that recur.
+"""Token ids of whole texts by a public tokenizer file, with a cache of the units that recur.
 
-Both tokenizers cut texts before white space, so a text's ids are those of its units in turn: runs of
-other characters, each with the white space before it (or without it, where the tokenizer drops it).
+Both tokenizers cut texts before white space, and between a letter or digit and punctuation.  A text's ids
+are therefore those of its units in turn: runs of other characters, each with the white space before it (or without it,
+where the tokenizer drops it), less the full stops and commas behind letters and digits, which begin units of their own.
 Units recur, texts don't, so ids are kept by unit in a cache of bounded size.
 """
 
@@ -9,54 +10,92 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
+from lumenfold.llm._text import kept, tenant
 
 #: Unicode's White_Space, which the tokenizers' patterns call \\s.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Units in the cache at most; one slice of texts may add its own.
-CACHE_UNITS = 200_000
+#: Units in each of the cache's two generations (about 200 bytes each); one call may add its own.
+CACHE = 300_000
 #: Longer units aren't kept.
 CACHE_CHARS = 48
 
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level tokenizers write each byte: itself where it prints, else one from U+0100 on in order."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
+class _Cache(dict):
+    """ids of units, made when first asked for; what a whole generation has not asked for is forgotten."""
+
+    def __init__(self, make, old: dict[str, bytes]) -> None:
+        self.make, self.old = make, old
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.old.get(unit)
+        if ids is None:
+            ids = self.make(unit)
+        if len(unit) <= CACHE_CHARS:
+            self[unit] = ids
+        return ids
+
+
 class Encoder:
-    """ids of texts; ``keep_space``: the tokenizer turns white space into ids."""
+    """ids of texts; ``keep_space``: the tokenizer turns white space into ids, else it drops it and reads A-Z as a-z."""
 
-    def __init__(self, path: str, keep_space: bool) -> None:
+    def __init__(self, path: str, keep_space: bool, most: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.units = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+" if keep_space else f"[^{WHITE}]+").findall
-        self.cache: dict[str, bytes] = {}
+        before, rest = (f"[{WHITE}]*", f"|[{WHITE}]+") if keep_space else ("", "")
+        bare = f"{before}[^{WHITE}.,]+(?<=[^\\W_])(?=[.,]+(?:[{WHITE}]|$)|[{WHITE}]|$)"
+        self.find = re.compile(f"{bare}|[.,]+(?=[{WHITE}]|$)|{before}[^{WHITE}]+{rest}").findall
+        # texts that string functions can't cut: points behind punctuation, white space in a row, the cut mark itself
+        self.odd = re.compile(r"[^\w\s][.,]|[\s_][.,]|\s\s|[\x00\x1c-\x1f]" if keep_space else r"[^\w\s][.,]|_[.,]|[\x1c-\x1f]").search
+        self.keep_space, self.most = keep_space, most
+        # units that are one word of Latin letters go to the model as they are: nothing before it would change or cut them
+        self.simple = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+" if keep_space else "[a-zß-öø-ÿ]+").fullmatch
+        self.letters = _byte_letters()
+        self.cache = _Cache(self._make, {})
+
+    def _make(self, unit: str) -> bytes:
+        if self.simple(unit):
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
 
-    def _encode(self, units: list[str]) -> dict[str, bytes]:
-        got = self.tokenizer.encode_batch(units, add_special_tokens=False)
-        return {u: np.array(e.ids, dtype="<u4").tobytes() for u, e in zip(units, got, strict=True)}
+    def _units(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if not self.keep_space:
+            text = text.encode().lower().decode()
+        if self.odd(text):
+            return self.find(text)
+        if self.keep_space:
+            return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(",", "\0,").replace(".", "\0.").split("\0")
+        return text.replace(",", " ,").replace(".", " .").split()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        split = [self.units(t) if t else [] for t in texts]
-        seen = set().union(*split)
-        missing = seen.difference(self.cache)
-        self.cache |= self._encode(list(missing))
         get = self.cache.__getitem__
-        out = [b"".join(map(get, units)) for units in split]
-        for u in missing:
-            if len(u) > CACHE_CHARS:
-                del self.cache[u]
-        if len(self.cache) > CACHE_UNITS:  # what is in use now is likely to come again
-            self.cache = {u: self.cache[u] for u in seen if u in self.cache}
-            if len(self.cache) > CACHE_UNITS:
-                self.cache = {}
+        out = [b"".join(map(get, self._units(t))) for t in texts]
+        if len(self.cache) > self.most:
+            self.cache.old = {}
+            self.cache = _Cache(self._make, self.cache)
         return out
 
 
-def encoder(path: str, keep_space: bool) -> Encoder:
-    """This worker's encoder for a tokenizer file."""
+def encoder(path: str, keep_space: bool, most: int = CACHE) -> Encoder:
+    """This worker's encoder for a tokenizer file, until a task of another kind runs here."""
+    tenant(path)
+    kept[path] = _encoders.clear
     if (path, keep_space) not in _encoders:
-        _encoders[path, keep_space] = Encoder(path, keep_space)
+        _encoders[path, keep_space] = Encoder(path, keep_space, most)
     return _encoders[path, keep_space]
