@@ -26,10 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm._spark import materialize, scratch_path
+from lumenfold.llm._spark import bound_batches, materialize, scratch_path
 from lumenfold.llm._text import pieces
 from lumenfold.llm._tokens import encoder
 
+#: Units in each generation of a worker's cache: units with their white space recur less than bare words.
+CACHE = 600_000
+#: Tasks that read shards at most.
+MAX_READERS = 10_000
 BLOCK_BYTES, BITS_PER_KEY, HASHES = 64 << 10, 10, 7
 FOOTER = struct.Struct("<QQQQQQB7s")
 MAGIC = b"LFSST1\0"
@@ -188,7 +192,7 @@ def _write(folder: str, tokenizer: str, keep_space: bool, end_id: int, width: in
         from pyarrow import fs
         from pyspark import TaskContext
 
-        tool, end = encoder(tokenizer, keep_space), np.array([end_id], dtype="<u4").tobytes()
+        tool, end = encoder(tokenizer, keep_space, CACHE), np.array([end_id], dtype="<u4").tobytes()
         path = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"
         system, name = fs.FileSystem.from_uri(path)
         out = writer = first = None
@@ -215,6 +219,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, keep_space: bool
     Null and empty texts hold ``end_id`` alone; rows that repeat a doc_id are entries of their own; a null
     doc_id sorts first.  ``folder`` must be shared by all executors.  No rows give no shards.
     """
+    bound_batches(docs.sparkSession)
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parted = typed.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     rows = parted.mapInArrow(_write(folder, tokenizer, keep_space, end_id, 2 if vocabulary <= 1 << 16 else 4), "first_key binary, last_key binary, path string, documents long, ids long")
@@ -244,7 +249,8 @@ def scan_shards(manifest: DataFrame) -> DataFrame:
     """Every document of the shards: doc_id, start (ids before it in the whole), n_tokens, ids_crc32."""
     before = F.coalesce(F.sum("ids").over(Window.orderBy("first_key", "last_key", "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = materialize(manifest.select("path", before.alias("base")), "bases")  # a row per shard
-    return bases.repartition("path").mapInArrow(_scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a number of its own, or rows so small would be read by one task
+    return bases.repartition(max(1, min(bases.count(), MAX_READERS)), "path").mapInArrow(_scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = 0, keep_space: bool = True) -> DataFrame:
