@@ -8,7 +8,7 @@ hashes with a column of log probabilities per language, and one of context hashe
 log weights by which an unseen n-gram falls back on the next shorter one.
 
 A text takes the language with the lowest cross-entropy per letter.  It is rejected if that is above the language's
-limit, midway between the greatest value among a part of the sample that the counts don't see and
+limit, three quarters of the way from the greatest value among a part of the sample that the counts don't see to
 that of letters drawn at random from the alphabet (at least HEADROOM times the former).
 """
 
@@ -297,7 +297,7 @@ def learn(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE_DOCUMENTS) -
     if model.languages:
         judged = _apply(taught.filter(spared).select("text", "lang"), model).filter("lang = lang_pred")
         worst = {r["lang"]: r["h"] for r in judged.groupBy("lang").agg(F.max("cross_entropy").alias("h")).collect()}
-        model.limits = np.array([max(h * HEADROOM, (h - model.unseen) / 2) for h in (worst.get(name, np.inf) for name in model.languages)])
+        model.limits = np.array([max(h * HEADROOM, (h - 3 * model.unseen) / 4) for h in (worst.get(name, np.inf) for name in model.languages)])
     return model
 
 
