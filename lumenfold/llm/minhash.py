@@ -212,7 +212,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # two blocks meet in one group; the only block of a family is a group of its own
     other = F.explode(F.expr("if(blocks = 1, array(0), filter(sequence(0, blocks - 1), x -> x <> block))"))
     packed = packed.withColumn("other", other).select("doc", "sig", "shingles", "family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    links = packed.groupBy("family", "lo", "hi").applyInArrow(_block_links(percent), "a long, b long")
+    # written first: two Python operators in one task would need two workers, and their memory, side by side
+    links = materialize(packed.groupBy("family", "lo", "hi").applyInArrow(_block_links(percent), "a long, b long"), "links")
     found = connected_components(links)
     state = classes.join(found, classes.cls == found.node, "left").select("h1", "h2", "copies", "cls", F.coalesce("component", "cls").alias("component"))
     joined = hot_lookup(sets.select("doc_id", "n_shingles", "h1", "h2"), state, ["h1", "h2"], "copies", "doc_id", ["cls", "component"])
