@@ -54,8 +54,15 @@ def _search(raw, p: P.SearchParams, buckets: int):
     return run
 
 
+def tasks_for(lc: DataFrame) -> int:
+    """Tasks of a search: some for each core, or as many as a shuffle has."""
+    spark = lc.sparkSession
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def buckets_for(lc: DataFrame) -> int:
-    return 4 * lc.sparkSession.sparkContext.defaultParallelism
+    """Parts into which each curve's periods go: one where curves alone keep all tasks busy, since each part makes the templates anew."""
+    return max(1, -(-tasks_for(lc) // max(1, lc.select("lc_id").distinct().count())))
 
 
 def search_spectrum(lc: DataFrame, p: P.SearchParams, buckets: int | None = None) -> DataFrame:
@@ -63,7 +70,7 @@ def search_spectrum(lc: DataFrame, p: P.SearchParams, buckets: int | None = None
     buckets = buckets or buckets_for(lc)
     raw = template.raw_transit(p)
     work = lightcurve.pack(lc).select("lc_id", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "t", "y", "dy")
-    return work.repartition(buckets, "lc_id", "bucket").mapInArrow(_search(raw, p, buckets), SPECTRUM)
+    return work.repartition(tasks_for(lc), "lc_id", "bucket").mapInArrow(_search(raw, p, buckets), SPECTRUM)
 
 
 _FIT = "lc_id string, T0 double, duration double, template array<double>"
