@@ -1,4 +1,4 @@
-"""Search with flat boxes in plain window SQL: exact, without Python; for reduced sizes and as the kernel's check."""
+"""Search with flat boxes in plain window SQL: exact, without Python."""
 
 from __future__ import annotations
 
@@ -22,12 +22,17 @@ def box_search(lc: DataFrame, periods: DataFrame, widths: tuple[int, ...], depth
     grown = Window.partitionBy(*curve).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     p = p.select("*", F.sum("d").over(grown).alias("sd"), F.sum(F.col("d") * F.col("iv")).over(grown).alias("sb"), F.sum("iv").over(grown).alias("sc"), F.sum(F.when(F.col("i") < F.col("n"), F.col("d") * F.col("d") * F.col("iv"))).over(Window.partitionBy(*curve)).alias("total"))
     order = Window.partitionBy(*curve).orderBy("i")
-    found = None
+    over = lambda c, own, w: F.lead(c, w - 1).over(order) - F.col(c) + own
+    sums = [f(w) for w in widths for f in (
+        lambda w: (over("sd", F.col("d"), w) / w).alias(f"m{w}"), lambda w: over("sb", F.col("d") * F.col("iv"), w).alias(f"b{w}"), lambda w: over("sc", F.col("iv"), w).alias(f"c{w}")
+    )]
+    # all widths of a start in one row: the folded curve is sorted once, however many widths there are
+    q = p.select(*curve, "period", "n", "i", "total", *sums)
+    tries = []
     for w in widths:
-        over = lambda c, own: F.lead(c, w - 1).over(order) - F.col(c) + own  # noqa: B023, E731
-        q = p.select(*curve, "period", "n", "i", "total", (over("sd", F.col("d")) / w).alias("m"), over("sb", F.col("d") * F.col("iv")).alias("b"), over("sc", F.col("iv")).alias("c"))
-        q = q.filter(F.col("m") > depth_min).select(*curve, (F.col("total") - 2 * F.col("m") * F.col("b") + F.col("m") * F.col("m") * F.col("c")).alias("chi2"), F.lit(w).alias("width"), F.col("i").alias("phase_index"), (1 - F.col("m")).alias("depth"), "n")
-        found = q if found is None else found.unionByName(q)
-    best = found.filter(F.col("chi2") < F.col("n")).groupBy(*curve).agg(F.min(F.struct("chi2", "width", "phase_index", "depth")).alias("b"))
-    all_ = ranked.groupBy(*curve).agg(F.first("period").alias("period"), F.first("n").alias("n")).join(best, curve, "left")
-    return all_.select(*curve, "period", F.coalesce("b.chi2", F.col("n").cast("double")).alias("chi2"), F.coalesce("b.width", F.lit(0)).alias("width"), F.coalesce(F.col("b.phase_index"), F.lit(0)).cast("long").alias("phase_index"), F.coalesce("b.depth", F.lit(0.0)).alias("depth"))
+        m, b, c = (F.col(f"{x}{w}") for x in "mbc")
+        chi2 = F.col("total") - 2 * m * b + m * m * c
+        tries.append(F.when((m > depth_min) & (chi2 < F.col("n")), F.struct(chi2.alias("chi2"), F.lit(w).alias("width"), F.col("i").alias("phase_index"), (1 - m).alias("depth"))))
+    least = tries[0] if len(tries) == 1 else F.array_min(F.array(*tries))
+    best = q.select(*curve, "period", "n", least.alias("b")).groupBy(*curve).agg(F.first("period").alias("period"), F.first("n").alias("n"), F.min("b").alias("b"))
+    return best.select(*curve, "period", F.coalesce("b.chi2", F.col("n").cast("double")).alias("chi2"), F.coalesce("b.width", F.lit(0)).alias("width"), F.coalesce(F.col("b.phase_index"), F.lit(0)).cast("long").alias("phase_index"), F.coalesce("b.depth", F.lit(0.0)).alias("depth"))

@@ -1,9 +1,12 @@
 """Every registered query against its DuckDB SQL at the smallest scale."""
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lumenfold.plans import registry
+from lumenfold.operators import grids
+from lumenfold.plans import adapters, registry
 
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -38,3 +41,31 @@ def test_planted_dip_is_found(spark, sf):
 @pytest.mark.parametrize("name", ["template_table", "model_curve", "many_curves"])
 def test_other_queries_have_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).limit(1).count() == 1
+
+
+def test_box_search_of_the_prefix_against_duckdb(spark, duck, sf):
+    df = registry.box_rows(adapters.planted(spark, sf).filter(F.col("idx") < registry._BOX_N), registry._WIDTHS)
+    want = duck.sql(registry.BOX_PREFIX_SQL).project(",".join(df.columns)).fetchall()
+    assert sorted(plain(tuple(r)) for r in df.collect()) == sorted(map(plain, want))
+
+
+def test_box_search_takes_the_whole_curve(spark, sf):
+    """Against brute force over every point, every width and every start."""
+    got = {r["k"]: r for r in QUERIES["box_search"](spark, sf).collect()}
+    rows = adapters.planted(spark, sf).orderBy("idx").collect()
+    t, d = np.array([r["t"] for r in rows]), 1 - np.array([r["y"] for r in rows])
+    n = len(t)
+    widths = sorted({max(1, int(x * n)) for x in grids.durations(3.2, 4.18)})
+    assert len(got) == 50 and n == 1000
+    for k in (0, 13, 25, 49):
+        phase = t / (3.2 + 0.02 * k)
+        f = d[np.argsort(phase - np.floor(phase), kind="stable")]
+        best = (float(n), 0, 0.0)
+        for w in widths:
+            for i in range(n):
+                box = np.take(f, range(i, i + w), mode="wrap")
+                if (m := box.mean()) > 10e-6 and (chi2 := ((f**2).sum() - (box**2).sum() + ((box - m) ** 2).sum()) / 0.002**2) < best[0]:
+                    best = chi2, w, 1 - m
+        assert got[k]["chi2"] == pytest.approx(best[0], abs=2e-3) and got[k]["width"] == best[1] and got[k]["depth"] == pytest.approx(best[2], abs=2e-6)
+    # the planted period
+    assert min(got.values(), key=lambda r: r["chi2"])["period"] == pytest.approx(3.7, abs=0.03)
