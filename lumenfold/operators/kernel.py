@@ -14,6 +14,8 @@ from lumenfold.operators.template import Templates
 
 #: Products of points and template samples from which a transform beats the direct sum.
 TRANSFORM = 4_000_000
+#: Points of all templates laid out at once in the mid-transit fit: 8 MB.
+BLOCK = 1_000_000
 
 
 def sliding_product(x: np.ndarray, s: np.ndarray, memo: dict | None = None) -> np.ndarray:
@@ -113,10 +115,13 @@ def best_t0(t: np.ndarray, y: np.ndarray, period: float, signal: np.ndarray, dep
     ones = _sums(one)
     start = (np.arange(n) - roll) % n
     all_ones = ones[n]
-    inside = ones[start + dur] - ones[start]
-    fit = np.empty(n)
+    asked, which = np.unique(turn, return_inverse=True)  # the grid asks few turns of a long curve
+    start = start[asked]
+    fit = np.empty(len(asked))
     view, wview = np.lib.stride_tricks.sliding_window_view(wide, dur), np.lib.stride_tricks.sliding_window_view(weight, dur)
-    for lo in range(0, n, 4096):
-        s = start[lo : lo + 4096]
-        fit[lo : lo + 4096] = ((view[s] - model) ** 2 * wview[s]).sum(1)
-    return float(grid[int((all_ones - inside + fit)[turn].argmin())])
+    inside = ones[start + dur] - ones[start]
+    rows = max(1, BLOCK // dur)
+    for lo in range(0, len(asked), rows):
+        s = start[lo : lo + rows]
+        fit[lo : lo + rows] = ((view[s] - model) ** 2 * wview[s]).sum(1)
+    return float(grid[int((all_ones - inside + fit)[which].argmin())])

@@ -413,33 +413,20 @@ def box_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return box_rows(lc, tuple(sorted({max(1, int(d * n)) for d in grids.durations(3.2, 4.18)})))
 
 
-SEARCH_POINTS = 4000
-
-
-def planted_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The planted curve, resampled to SEARCH_POINTS points where it is longer (the search's cost is quadratic in points)."""
-    lc = A.planted(spark, sf_dir)
-    n = lc.count()
-    if n <= SEARCH_POINTS:
-        return lc
-    r = windows.resample(lc, n / SEARCH_POINTS)
-    return r.select("lc_id", F.col("i").alias("idx"), "t", "y", F.lit(None).cast("double").alias("dy"))
-
-
 PARAMS = P.SearchParams(period_min=1.0, period_max=10.0)
 
 
 @query()
 def search_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search over the planted curve."""
-    result, _ = search.search(planted_curve(spark, sf_dir), PARAMS)
+    result, _ = search.search(A.planted(spark, sf_dir), PARAMS)
     return result
 
 
 @query()
 def search_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chi2 over trial periods."""
-    return search.search_spectrum(lightcurve.validate(planted_curve(spark, sf_dir)), PARAMS)
+    return search.search_spectrum(lightcurve.validate(A.planted(spark, sf_dir)), PARAMS)
 
 
 @query()
@@ -454,13 +441,13 @@ def many_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def two_planets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: a second search without the first dip's points."""
-    return search.search_many_planets(planted_curve(spark, sf_dir), P.SearchParams(period_min=3.0, period_max=4.5), 2).select("lc_id", "round", "period", "T0", "SDE", "depth")
+    return search.search_many_planets(A.planted(spark, sf_dir), P.SearchParams(period_min=3.0, period_max=4.5), 2).select("lc_id", "round", "period", "T0", "SDE", "depth")
 
 
 @query()
 def template_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Default, grazing and box templates on one curve."""
-    return search.compare_templates(planted_curve(spark, sf_dir), P.SearchParams(period_min=3.4, period_max=4.0)).select("lc_id", "template", "period", "chi2_min", "SDE", "duration")
+    return search.compare_templates(A.planted(spark, sf_dir), P.SearchParams(period_min=3.4, period_max=4.0)).select("lc_id", "template", "period", "chi2_min", "SDE", "duration")
 
 
 @query()
@@ -474,7 +461,7 @@ def template_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def model_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: the model over the planted curve's span."""
-    extent = stats.extents(planted_curve(spark, sf_dir))
+    extent = stats.extents(A.planted(spark, sf_dir))
     found = stats.durations(extent.select("lc_id", F.lit(PERIOD).alias("period"), F.lit(T0).alias("T0"), F.lit(SHARE).alias("duration")), extent).withColumn("depth", F.lit(0.99))
     return model.model_light_curve(found, P.SearchParams())
 

@@ -5,6 +5,7 @@ import pytest
 
 from lumenfold.functions.params import SearchParams
 from lumenfold.operators import kernel, lightcurve, search, template
+from lumenfold.plans import registry
 
 WANTED = 365.2582192473641
 
@@ -133,3 +134,21 @@ def test_mask_is_removed(spark):
     lc = spark.createDataFrame([("x", i, float(i), 1.0, None) for i in range(1, 11)], "lc_id string, idx long, t double, y double, dy double")
     found = spark.createDataFrame([("x", 5.0, 1.0, 2.0)], "lc_id string, period double, duration_days double, T0 double")
     assert sorted(r["t"] for r in lightcurve.without_transits(lc, found).collect()) == [1, 3, 4, 5, 6, 8, 9, 10]
+
+
+def test_queries_search_every_point(spark, monkeypatch):
+    """A curve longer than 4,000 points reaches the search as it is."""
+    seen = []
+    monkeypatch.setattr(search, "search", lambda lc, *a, **k: (seen.append(lc.count()) or lc, None))
+    registry.queries()["search_result"](spark, "/root/testdata/sf0.01")
+    assert seen == [10_000]
+
+
+def test_t0_of_a_long_curve_in_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.uniform(1, 32, 6000))
+    y = 1 + rng.normal(0, 1e-3, 6000) - 0.01 * (np.abs((t - 2.5 + 1.85) % 3.7 - 1.85) < 0.1)
+    signal = np.full(324, 0.5)
+    whole = kernel.best_t0(t, y, 3.7, signal, 0.99, 0.01)
+    monkeypatch.setattr(kernel, "BLOCK", 1000)
+    assert kernel.best_t0(t, y, 3.7, signal, 0.99, 0.01) == whole == pytest.approx(2.5, abs=0.1)
