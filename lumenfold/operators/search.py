@@ -33,8 +33,16 @@ class _Curve:
     def __init__(self, t, y, dy, raw, p: P.SearchParams) -> None:
         self.t, self.y, self.dy = (np.asarray(v, dtype=float) for v in (t, y, dy))
         self.periods = _periods(self.t[-1] - self.t[0], p)
-        self.templates = template.templates(raw, durations(self.periods.min(), self.periods.max(), p.duration_grid_step), len(self.t))
-        self.widths, self.rows = np.unique(self.templates.width, return_index=True)
+        shares = durations(self.periods.min(), self.periods.max(), p.duration_grid_step)
+        # a curve too short for every template has none
+        self.templates = template.templates(raw, shares, len(self.t)) if int(max(shares) * len(self.t)) else None
+        self.widths, self.rows = np.unique(self.templates.width, return_index=True) if self.templates else (np.array([], int),) * 2
+        self.p = p
+
+    def best_at(self, period: float) -> tuple[float, int, float]:
+        if self.templates is None:
+            return float(len(self.t)), 0, 0.0
+        return kernel.best_at(period, self.t, self.y, self.dy, self.templates, self.widths, self.rows, self.p)
 
 
 def _search(raw, p: P.SearchParams, buckets: int):
@@ -47,7 +55,7 @@ def _search(raw, p: P.SearchParams, buckets: int):
                     last = name, _Curve(*(rows.column(j)[k].values.to_numpy(zero_copy_only=False) for j in (2, 3, 4)), raw, p)
                 c = last[1]
                 mine = c.periods[bucket::buckets]
-                out = [kernel.best_at(x, c.t, c.y, c.dy, c.templates, c.widths, c.rows, p) for x in mine]
+                out = [c.best_at(x) for x in mine]
                 chi2, row, depth = zip(*out, strict=True) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(mine), pa.string()), pa.array(mine), pa.array(chi2, pa.float64()), pa.array(row, pa.int32()), pa.array(depth, pa.float64())], names=["lc_id", "period", "chi2", "row", "depth"])
 
@@ -92,9 +100,11 @@ def _fit_t0(raw, p: P.SearchParams):
 def search(lc: DataFrame, p: P.SearchParams | None = None, table: DataFrame | None = None, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(result, spectrum): one row per curve with period, T0, duration, depth, SDE, FAP and the transits' statistics; the spectrum behind it.
 
-    A curve where nothing was fit has null period and statistics, depth 1, SDE 0 and T0 0.
+    A curve where nothing was fit has null period and statistics, depth 1, SDE 0 and T0 0; so has one that validation leaves out,
+    without a spectrum.
     """
     p = (p or P.SearchParams()).validated()
+    given = cut(lc.select("lc_id").distinct())
     lc = cut(lightcurve.validate(lc))
     extent = cut(stats.extents(lc))
     spectrum = cut(spectra(search_spectrum(lc, p, buckets), extent, p.oversampling_factor))
@@ -107,7 +117,8 @@ def search(lc: DataFrame, p: P.SearchParams | None = None, table: DataFrame | No
     total = cut(stats.summary(lc, found)).withColumn("rp_rs", law)
     per = cut(stats.snr_stats(lc, found)).groupBy("lc_id").agg(F.sort_array(F.collect_list(F.struct("n", "mid", "cnt", "mean_flux", "err", "snr", "snr_pink"))).alias("transits"))
     out = peak.join(found.select("lc_id", "T0", "duration", "duration_days"), "lc_id", "left").join(period_uncertainty(spectrum, peak), "lc_id", "left").join(total, "lc_id", "left").join(stats.count_stats(lc, found), "lc_id", "left").join(per, "lc_id", "left")
-    out = out.withColumn("T0", F.coalesce("T0", F.lit(0.0)))
+    out = given.join(out, "lc_id", "left").withColumn("fit", F.coalesce("fit", F.lit(False)))
+    out = out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in (("T0", 0.0), ("depth", 1.0), ("SDE", 0.0), ("SDE_raw", 0.0))})
     return false_alarm(out, table if table is not None else default_false_alarms(lc.sparkSession)), spectrum
 
 

@@ -152,3 +152,24 @@ def test_t0_of_a_long_curve_in_blocks(monkeypatch):
     whole = kernel.best_t0(t, y, 3.7, signal, 0.99, 0.01)
     monkeypatch.setattr(kernel, "BLOCK", 1000)
     assert kernel.best_t0(t, y, 3.7, signal, 0.99, 0.01) == whole == pytest.approx(2.5, abs=0.1)
+
+
+def test_short_curves_have_a_row(spark):
+    """45 points are searched; 5 are too few for any template, 2 for validation."""
+    rng = np.random.default_rng(6)
+    rows = [(name, i, float(t), float(1 + rng.normal(0, 1e-3)), None) for name, n in (("a45", 45), ("b5", 5), ("c2", 2)) for i, t in enumerate(np.linspace(1, 31, n))]
+    lc = spark.createDataFrame(rows, "lc_id string, idx long, t double, y double, dy double")
+    result, spectrum = search.search(lc, SearchParams(period_min=2, period_max=6))
+    got = {r["lc_id"]: r for r in result.collect()}
+    assert set(got) == {"a45", "b5", "c2"} and got["a45"]["fit"] and got["a45"]["period"] is not None
+    for name in ("b5", "c2"):
+        r = got[name]
+        assert (r["fit"], r["period"], r["depth"], r["SDE"], r["T0"], r["duration"]) == (False, None, 1.0, 0.0, 0.0, None)
+    assert got["b5"]["chi2_min"] == 5.0 and {r["lc_id"] for r in spectrum.select("lc_id").distinct().collect()} == {"a45", "b5"}
+
+
+def test_many_curves_has_every_user(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(search, "search", lambda lc, *a, **k: (seen.append(lc.select("lc_id").distinct().count()) or lc.selectExpr("lc_id", "0 period", "0 SDE", "0 FAP", "0 T0", "0 duration", "0 depth"), None))
+    registry.queries()["many_curves"](spark, "/root/testdata/sf0.001")
+    assert seen == [15]
