@@ -413,7 +413,8 @@ def box_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return box_rows(lc, tuple(sorted({max(1, int(d * n)) for d in grids.durations(3.2, 4.18)})))
 
 
-PARAMS = P.SearchParams(period_min=1.0, period_max=10.0)
+#: Every registered search takes the grid's full range of periods.
+PARAMS = P.SearchParams()
 
 
 @query()
@@ -434,19 +435,19 @@ def many_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 over many curves at once: every user's own."""
     lc = A.events(spark, sf_dir)
     flat = lc.withColumn("y", 1 + (F.col("y") - 1) / 100)
-    return search.search(flat, P.SearchParams(period_min=2.0, period_max=6.0))[0].select("lc_id", "period", "SDE", "FAP", "T0", "duration", "depth")
+    return search.search(flat, PARAMS)[0].select("lc_id", "period", "SDE", "FAP", "T0", "duration", "depth")
 
 
 @query()
 def two_planets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: a second search without the first dip's points."""
-    return search.search_many_planets(A.planted(spark, sf_dir), P.SearchParams(period_min=3.0, period_max=4.5), 2).select("lc_id", "round", "period", "T0", "SDE", "depth")
+    return search.search_many_planets(A.planted(spark, sf_dir), PARAMS, 2).select("lc_id", "round", "period", "T0", "SDE", "depth")
 
 
 @query()
 def template_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Default, grazing and box templates on one curve."""
-    return search.compare_templates(A.planted(spark, sf_dir), P.SearchParams(period_min=3.4, period_max=4.0)).select("lc_id", "template", "period", "chi2_min", "SDE", "duration")
+    return search.compare_templates(A.planted(spark, sf_dir), PARAMS).select("lc_id", "template", "period", "chi2_min", "SDE", "duration")
 
 
 @query()

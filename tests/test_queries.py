@@ -69,3 +69,20 @@ def test_box_search_takes_the_whole_curve(spark, sf):
         assert got[k]["chi2"] == pytest.approx(best[0], abs=2e-3) and got[k]["width"] == best[1] and got[k]["depth"] == pytest.approx(best[2], abs=2e-6)
     # the planted period
     assert min(got.values(), key=lambda r: r["chi2"])["period"] == pytest.approx(3.7, abs=0.03)
+
+
+def test_spectrum_has_the_full_range_of_periods(spark, sf):
+    r = QUERIES["search_spectrum"](spark, sf).agg(F.min("period"), F.max("period"), F.count("period")).first()
+    assert r[0] < 0.61 and r[1] > 14.9 and r[2] > 2500
+
+
+def test_registered_searches_have_no_window(spark, sf, monkeypatch):
+    from lumenfold.operators import search
+
+    seen = []
+    for name in ("search", "search_many_planets", "compare_templates"):
+        monkeypatch.setattr(search, name, lambda lc, p, *a: seen.append((p.period_min, p.period_max)) or 1 / 0)
+    for name in ("search_result", "many_curves", "two_planets", "template_shapes"):
+        with pytest.raises(ZeroDivisionError):
+            QUERIES[name](spark, sf)
+    assert seen == [(0.0, float("inf"))] * 4
