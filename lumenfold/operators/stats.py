@@ -106,7 +106,9 @@ def snr_stats(lc: DataFrame, found: DataFrame) -> DataFrame:
     w = sums.filter(F.col("k") >= F.col("__w")).join(back, ["lc_id", "k"], "left")
     s1, s2 = F.col("s1") - F.coalesce("p1", F.lit(0.0)), F.col("s2") - F.coalesce("p2", F.lit(0.0))
     var = F.greatest(F.lit(0.0), s2 / F.col("__w") - F.pow(s1 / F.col("__w"), F.lit(2.0)))
-    pink = w.groupBy("lc_id", "__w").agg(F.avg(F.sqrt(var) / F.sqrt(F.col("__w"))).alias("__pink")).drop("__w")
+    # one point has no scatter; the prefix sums would leave rounding residue
+    scatter = F.when(F.col("__w") == 1, F.lit(0.0)).otherwise(F.sqrt(var) / F.sqrt(F.col("__w")))
+    pink = w.groupBy("lc_id", "__w").agg(F.avg(scatter).alias("__pink")).drop("__w")
     joined = per.join(white, "lc_id", "left").join(pink, "lc_id", "left")
     snr = F.try_divide((1 - F.col("mean_flux")) * F.sqrt("cnt"), "__white")
     return joined.select("lc_id", "n", "mid", "cnt", "mean_flux", "err", F.coalesce(snr, F.lit(0.0)).alias("snr"), F.coalesce(F.try_divide(1 - F.col("mean_flux"), "__pink"), F.lit(0.0)).alias("snr_pink"))

@@ -355,8 +355,7 @@ pink AS (SELECT lc_id, avg(s / sqrt(w)) AS pink FROM win WHERE c = w GROUP BY lc
 SELECT per.lc_id, n, cnt, round(coalesce((1 - mean_flux) * sqrt(cnt) / nullif(white, 0), 0), 4) AS snr, round(coalesce((1 - mean_flux) / nullif(CASE WHEN w.w = 1 THEN 0 ELSE pink END, 0), 0), 4) AS snr_pink FROM per LEFT JOIN pink USING (lc_id) LEFT JOIN white USING (lc_id) LEFT JOIN w USING (lc_id)""")
 def snr_per_transit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each transit's signal to noise."""
-    s = stats.snr_stats(*_found(spark, sf_dir))
-    return _r(s.select("lc_id", "n", "cnt", "snr", F.when(F.abs("snr_pink") > 1e5, 0.0).otherwise(F.col("snr_pink")).alias("snr_pink")), 4)
+    return _r(stats.snr_stats(*_found(spark, sf_dir)).select("lc_id", "n", "cnt", "snr", "snr_pink"), 4)
 
 
 @query(f"""WITH {E}, {_FOUND}, {_IN}, {_OUT}, {_DEPTH}, s AS (SELECT lc_id, stddev_pop(y) AS s FROM o GROUP BY lc_id), c AS (SELECT m.lc_id, count(DISTINCT m.n) AS transit_count, count(DISTINCT CASE WHEN p.y IS NOT NULL THEN m.n END) AS distinct_transit_count FROM mids m JOIN found USING (lc_id) LEFT JOIN p ON p.lc_id = m.lc_id AND p.n = m.n GROUP BY m.lc_id)

@@ -120,3 +120,12 @@ def test_points_wider_than_half_a_period(spark):
     got = stats.points_by_transit(lc, mids, found, F.lit(1.6)).groupBy("n").count().collect()
     centres = {r["n"]: r["mid"] for r in mids.collect()}
     assert {r["n"]: r["count"] for r in got} == {n: int((abs(t - m) < 1.6).sum()) for n, m in centres.items()}
+
+
+def test_pink_noise_of_one_point_is_zero(spark):
+    rng = np.random.default_rng(7)
+    t = np.linspace(1, 31, 40)
+    lc = curve(spark, t, 1 + rng.normal(0, 0.3, 40))
+    found = spark.createDataFrame([("x", 3.0, 1.5, 0.05)], "lc_id string, period double, T0 double, duration double")
+    rows = stats.snr_stats(lc, stats.durations(found, stats.extents(lc))).collect()
+    assert max(r["cnt"] for r in rows) == 1 and {r["snr_pink"] for r in rows} == {0.0}
