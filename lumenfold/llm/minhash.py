@@ -105,7 +105,7 @@ def _keyed(batches):
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(len(ids), SYMBOLS).astype(np.uint64)
         for c in range(CHUNKS):
             part = mix(sig[:, c * CHUNK_SYMBOLS : (c + 1) * CHUNK_SYMBOLS] + _U(1))
-            keys, docs, vias = [], [], []
+            keys, docs, vias, ties = [], [], [], []
             for m, mask in enumerate(_MASKS):
                 key = mix((part[:, mask] * _KEY[c, m, : len(mask)]).sum(1) + _U(c * 1000 + m))
                 order = np.lexsort((ids, key))
@@ -114,13 +114,12 @@ def _keyed(batches):
                 group = np.cumsum(new) - 1
                 size = np.bincount(group)[group]
                 tied = (size > LOCAL_KEY) & ~new
-                via = np.where(tied, d[np.flatnonzero(new)][group], -1)
+                vias.append(d[np.flatnonzero(new)][group])
+                ties.append(tied)
                 # a tied row meets nobody under its key any more: it travels under one of its own
                 keys.append(np.where(tied, mix(d.view(np.uint64) + _U(c * 1000 + m)), k))
                 docs.append(d)
-                vias.append(via)
-            via = np.concatenate(vias)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(via, mask=via == -1)], names=["key", "doc", "via"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(vias), mask=~np.concatenate(ties))], names=["key", "doc", "via"])
 
 
 def _sets(width: int):

@@ -6,6 +6,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenfold.llm import minhash
@@ -255,3 +256,10 @@ def test_near_vectors_in_many_blocks(spark, monkeypatch):
     assert (found == (unit @ unit.T >= 0.9)).all()
     for a, b, hit in e.joined(unit[:250], unit[250:], unit[:250, :4], unit[250:, :4], 0.9):
         assert (hit == (unit[:250][slice(*a)] @ unit[250:][slice(*b)].T >= 0.9)).all()
+
+
+def test_minhash_ties_to_document_minus_one():
+    ids = np.arange(-1, 19)
+    sig = pa.array([np.ones(minhash.SYMBOLS, np.uint16).tobytes()] * len(ids), pa.binary())
+    rows = [r for b in minhash._keyed([pa.RecordBatch.from_arrays([pa.array(ids), sig], names=["doc_id", "sig"])]) for r in b.to_pylist()]
+    assert {r["via"] for r in rows if r["doc"] != -1} == {-1} and {r["via"] for r in rows if r["doc"] == -1} == {None}
