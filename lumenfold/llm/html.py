@@ -7,7 +7,7 @@ page's content region.  The region is then completed: its container is the deepe
 it (an article or main element before any other), and every block of the container belongs to the article, however short, unless it is boilerplate.
 
 Boilerplate is what stands in an element for menus, footers, sidebars, forms, scripts and the like, or in one whose class, id or
-role names such a part; also blocks below the threshold that are mostly links.
+role names such a part; also, where no article or main element was found, blocks below the threshold that are mostly links.
 """
 
 from __future__ import annotations
@@ -226,7 +226,9 @@ def main_text(html: str | None) -> str:
         # one block's own wrapper: the article is the element around it
         path = next(lines[i][3] for i in region if container in lines[i][3])
         container = next((n for n in reversed(path[: path.index(container)]) if page.kinds[n] in CONTAINERS), container)
-    out = [i for i in mine if (container is None or container in lines[i][3]) and not (linked[i] > LINKS * size[i] and level[i] < cut)]
+    # in a named article every block is the article's, links or not
+    whole = container in named
+    out = [i for i in mine if (container is None or container in lines[i][3]) and (whole or not (linked[i] > LINKS * size[i] and level[i] < cut))]
     return "\n".join(lines[i][0] for i in out)
 
 

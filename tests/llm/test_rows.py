@@ -349,3 +349,11 @@ def test_every_query_runs(spark):
     seven = {r["doc_id"]: r for r in names["op7_mix_sources"](spark, "/root/testdata/sf0.001").collect()}
     assert set(one) == set(nine) == set(seven) == set(docs)
     assert all(nine[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and seven[i]["taken"] <= 2 * seven[i]["size"] == 2 * len(docs[i].encode().split()) for i in docs)
+
+
+def test_linked_references_inside_an_article_stay():
+    text = "".join(f"<p>Paragraph {i} has a good number of words to be read, and then some more of them.</p>" for i in range(8))
+    refs = "".join(f'<li><a href="/{i}">Ref {i}</a></li>' for i in range(12))
+    page = "<html><body><{0}>" + text + "<ul>" + refs + "</ul></{0}></body></html>"
+    assert main_text(page.format("article")).split("\n")[8:] == [f"Ref {i}" for i in range(12)]
+    assert "Ref 11" not in main_text(page.format("div"))
