@@ -126,9 +126,9 @@ def _forest(batches):
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (its first two long columns); component is the least node reachable.
 
-    Each partition first reduces its own edges to a forest.  If that leaves ONE_TASK_EDGES at most, one task does the
-    same with them all.  Else large-star and small-star steps alternate, each
-    written to the shared folder, until nothing changes; a hub's neighbours travel by :func:`hot_lookup`.
+    Each partition first reduces its own edges to a forest.  While more than ONE_TASK_EDGES edges are left, large-star and
+    small-star steps alternate, each written to the shared folder, until nothing changes; a hub's neighbours travel
+    by :func:`hot_lookup`.  As soon as no more are left, one task finishes them.
     Self loops and repeated edges count for nothing; no edges give no rows.
     """
     a, b = edges.columns[:2]
@@ -138,10 +138,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         r = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 40)).alias("h")).first()
         return r["n"], r["h"]
 
-    before = signature(cur)
-    if before[0] <= ONE_TASK_EDGES:
-        cur = materialize(cur.coalesce(1).mapInArrow(_forest, "u long, v long"), "cc")
-    while before[0] > ONE_TASK_EDGES:
+    before = None
+    while True:
+        now = signature(cur)
+        if now[0] <= ONE_TASK_EDGES:
+            cur = materialize(cur.coalesce(1).mapInArrow(_forest, "u long, v long"), "cc")
+            break
+        if now == before:
+            break
+        before = now
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = hot_lookup(both, least, ["u"], "n", "v", ["m"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -150,9 +155,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         moved = hot_lookup(large, down, ["u"], "n", "v", ["m"])
         cur = materialize(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(moved.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "cc")
-        after = signature(cur)
-        if after == before:
-            break
-        before = after
     nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(cur.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

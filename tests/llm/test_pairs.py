@@ -127,6 +127,31 @@ def test_components_by_stars(spark, monkeypatch):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("seed, limit", [(0, 320), (1, 450), (2, 320), (3, 600)])
+def test_components_at_any_limit(spark, monkeypatch, seed, limit):
+    """A limit between the edges at the start and those at the end of a round."""
+    import lumenfold.llm._spark as shared
+
+    monkeypatch.setattr(shared, "ONE_TASK_EDGES", limit)
+    rng = random.Random(seed)
+    edges = [(i, rng.randrange(i)) for i in range(1, 301)] + [(rng.randrange(301), rng.randrange(301)) for _ in range(700)]
+    rng.shuffle(edges)
+    rows = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()
+    assert len(rows) == 301 and {r["node"]: r["component"] for r in rows} == dict.fromkeys(range(301), 0)
+
+
+def test_components_beyond_one_task(spark):
+    """90,000 nodes and 290,000 edges in eight partitions, at the real limit."""
+    rng = np.random.default_rng(1)
+    a = np.concatenate([np.arange(1, 90_000), rng.integers(1, 90_000, 200_000)])
+    b = (a * rng.random(len(a))).astype(np.int64)
+    order = rng.permutation(len(a))
+    edges = spark.createDataFrame(pa.table({"a": a[order], "b": b[order]}).to_pandas()).repartition(8)
+    found = connected_components(edges)
+    n, nodes, most = found.selectExpr("count(1)", "count(distinct node)", "max(component)").first()
+    assert (n, nodes, most) == (90_000, 90_000, 0)
+
+
 def test_hot_lookup(spark):
     rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(3000)] + [(9999, "none")], "id long, k string")
     sizes = rows.filter("k <> 'none'").groupBy("k").count().selectExpr("k", "count as n", "concat(k, '!') as v")
