@@ -30,8 +30,6 @@ from lumenfold.llm._spark import bound_batches, materialize, scratch_path
 from lumenfold.llm._text import pieces
 from lumenfold.llm._tokens import encoder
 
-#: Units in each generation of a worker's cache: units with their white space recur less than bare words.
-CACHE = 600_000
 #: Tasks that read shards at most.
 MAX_READERS = 10_000
 BLOCK_BYTES, BITS_PER_KEY, HASHES = 64 << 10, 10, 7
@@ -192,19 +190,20 @@ def _write(folder: str, tokenizer: str, keep_space: bool, end_id: int, width: in
         from pyarrow import fs
         from pyspark import TaskContext
 
-        tool, end = encoder(tokenizer, keep_space, CACHE), np.array([end_id], dtype="<u4").tobytes()
+        tool, end = encoder(tokenizer, keep_space), np.array([end_id], dtype="<u4")
         path = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"
         system, name = fs.FileSystem.from_uri(path)
         out = writer = first = None
-        for rows, _, _ in pieces(batches, "text"):
+        for rows, data, offsets in pieces(batches, "text"):
             if writer is None:
                 system.create_dir(name.rpartition("/")[0], recursive=True)
                 out = system.open_output_stream(name)
                 writer = Writer(out, width)
             keys = [key_of(x) for x in rows.column(0).to_pylist()]
             first = first or keys[0]
-            for key, ids in zip(keys, tool.encode(rows.column(1).to_pylist()), strict=True):
-                writer.add(key, np.frombuffer(ids + end, dtype="<u4"))
+            ids, at = tool.encode_rows(data, offsets)
+            for key, a, b in zip(keys, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                writer.add(key, np.concatenate([ids[a:b], end]))
         if writer is not None:
             writer.close()
             out.close()

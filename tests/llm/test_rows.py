@@ -3,11 +3,13 @@
 import io
 import random
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumenfold.llm import language, mixing, packing, queries, sstable
-from lumenfold.llm._tokens import Encoder
+from lumenfold.llm import _tokens
+from lumenfold.llm._text import text_buffers
 from lumenfold.llm.html import extract, main_text
 from lumenfold.llm.urlfilter import filter_urls
 
@@ -27,18 +30,21 @@ def table(spark, rows):
     return spark.createDataFrame([(i, t, g, s, len(t or ""), "x", "y") for i, t, g, s in rows], DOCS)
 
 
-PIECES = st.lists(st.sampled_from([" ", "  ", "\n", "\t", ".", ",", "...", "'s", "the", "Word", "ab1", "é", "中", "\xa0", "\x1c", "\x85", "!", "<|endoftext|>", "Σ", "\u3000", "_", "\0"]), max_size=25).map("".join)
+PIECES = st.lists(st.sampled_from([" ", "  ", "\n", "\t", ".", ",", "...", "'s", "the", "Word", "ab1", "é", "中", "\xa0", "\x1c", "\x85", "!", "<|endoftext|>", "Σ", "\u3000", "_", "\0", "İ", "İ,", "a\u0301", "\r\n", "ſ", "\u200b"]), max_size=25).map("".join)
 
 
 @pytest.mark.parametrize("path, keep", [(WORD, False), (BYTE, True)])
-def test_units_give_the_tokenizer_s_ids(path, keep):
-    whole, tool = Tokenizer.from_file(path), Encoder(path, keep, 50)
-
-    @settings(max_examples=400, deadline=None)
-    @given(st.lists(PIECES, min_size=1, max_size=4))
+@pytest.mark.parametrize("most, part", [(50, 1 << 20), (5000, 30)])
+def test_units_give_the_tokenizer_s_ids(path, keep, most, part, monkeypatch):
+    """Any Unicode text, a cache that overflows, long rows in parts."""
+    monkeypatch.setattr(_tokens, "CHUNK", part)
+    whole, tool = Tokenizer.from_file(path), _tokens.Encoder(path, keep, most)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.one_of(PIECES, st.text(), st.text(st.characters(codec="utf-8", max_codepoint=0x250)), st.none()), min_size=1, max_size=4))
     def check(texts):
-        for text, got in zip(texts, tool.encode(texts), strict=True):
-            assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+        ids, at = tool.encode_rows(*text_buffers(pa.array(texts, pa.string())))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
 
     check()
 
@@ -69,30 +75,48 @@ def test_packing_places_every_piece(spark):
             assert offset == at
             at += length
         assert at <= 256
-    gaps = []  # best fit, one document after another from the longest
-    for n in sorted((r["length"] for r in rows), reverse=True):
-        best = min((g for g in gaps if g >= n), default=None)
-        if best is not None:
-            gaps.remove(best)
-        gaps.append((256 if best is None else best) - n)
-    assert len(used) <= len(gaps)
+    assert len(used) <= one_by_one([r["length"] for r in rows], 256)
     assert packing.pack(docs.limit(0), WORD).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 32), st.integers(1, 40), min_size=1))
-def test_best_fit_runs(counts):
-    runs, used = packing.best_fit(counts, 32)
-    ranks = defaultdict(set)
-    for length, rank, _, _, n in runs.tolist():
-        ranks[length] |= set(range(rank, rank + n))
-    # replay in the order of placement: by length from the longest, then by rank
-    held = Counter()
-    for length, _, first, offset, n in sorted(runs.tolist(), key=lambda r: (-r[0], r[1])):
-        for k in range(n):
-            assert held[first + k] == offset
-            held[first + k] += length
-    assert {n: sorted(r) for n, r in ranks.items()} == {n: list(range(c)) for n, c in counts.items()} and max(held.values()) <= 32 and len(held) == used
+def one_by_one(lengths, capacity):
+    """Sequences of best fit, one piece after another from the longest."""
+    gaps, used = [], 0
+    for n in sorted(lengths, reverse=True):
+        at = bisect_left(gaps, n)
+        used += at == len(gaps)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        if gap > n:
+            insort(gaps, gap - n)
+    return used
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_best_fit_in_ranges(spark, monkeypatch, seed):
+    """No more sequences than best fit one by one, in one range and in many."""
+    monkeypatch.setattr(packing, "RANGE_ROWS", [10_000, 60][seed % 2])
+    rng, n = random.Random(seed), 500
+    lengths = [
+        lambda: rng.randint(1, 777), lambda: min(777, max(1, int(rng.lognormvariate(5, 1.2)))), lambda: rng.randint(777 // 9, 777 // 4), lambda: rng.choice([194, 155, 162, 129]), lambda: rng.choice([1, 1, 777, 400]),
+    ]
+    lengths = [lengths[seed]() for _ in range(n)]
+    rows = packing.best_fit(spark.createDataFrame(list(enumerate(lengths)), "unit long, length long"), 777).collect()
+    used = defaultdict(list)
+    for r in rows:
+        used[r["sequence_id"]].append((r["offset"], lengths[r["unit"]]))
+    assert sorted(r["unit"] for r in rows) == list(range(n)) and len(used) <= one_by_one(lengths, 777)
+    for spans in used.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 777
+
+
+def test_packing_of_empty_texts(spark):
+    docs = table(spark, [(None, None, "en", "s"), (1, "", "en", "s"), (1, "", "en", "s")])
+    rows = packing.pack(docs, WORD).collect()
+    assert sorted((str(r["doc_id"]), r["length"], r["offset"]) for r in rows)[:1] and {r["length"] for r in rows} == {1} and len({r["sequence_id"] for r in rows}) == 1 and sorted(r["offset"] for r in rows) == [0, 1, 2]
 
 
 def test_shards_round_trip(spark):
