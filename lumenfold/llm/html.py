@@ -3,11 +3,15 @@
 The standard library's streaming parser gives start, end and text events.  Text between block
 boundaries is a line.  A line's ratio is its characters over its tags; characters of links count as tags do.  The ratios, smoothed by
 a Gaussian along the page, fall into two clusters whose midpoint is the threshold; lines above it are the
-page's content region.  The region is then completed: its container is the deepest element that holds nearly all of
-it (an article or main element before any other), and every block of the container belongs to the article, however short, unless it is boilerplate.
+page's content region.  The region decides first: its container is the deepest element that holds nearly all of
+it (articles or a main element before any other), and every block of the container belongs to the article, however short.
 
-Boilerplate is what stands in an element for menus, footers, sidebars, forms, scripts and the like, or in one whose class, id or
-role names such a part; also, where no article or main element was found, blocks below the threshold that are mostly links.
+Names and tags only take away.  Elements for menus, footers, sidebars, scripts and the like hold no article text.  An element whose
+class, id or role names such a part, or a form, goes too, unless it holds most of the region (of the text in article and main elements, where
+the page has any): then it is the page's frame, whatever its name says.  Classes that tell a state (has-sidebar, comments-open) name no part.  Where the container is no article or main element, blocks
+below the threshold that are mostly links go as well.
+
+Every step is linear in the page's size.
 """
 
 from __future__ import annotations
@@ -30,39 +34,49 @@ BLOCK = frozenset(
 )
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that never hold article text.
-APART = frozenset("aside button canvas datalist dialog footer form head iframe input menu nav noscript object script select style svg template textarea title".split())
+APART = frozenset("aside button canvas datalist dialog footer head iframe input menu nav noscript object script select style svg template textarea title".split())
 #: Words of class, id or role that name such an element.
 NAMES = frozenset(
-    "ad ads adv advert advertisement adverts adsense banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus footer "
-    "login menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted recommended related respond search share sharing sidebar signup "
+    "ad ads adv advert advertisement adverts adsense banner breadcrumb breadcrumbs consent contentinfo cookie cookies footer "
+    "login menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted recommended related search share sharing sidebar signup "
     "social sponsor sponsored subscribe subscription toolbar widget widgets complementary".split()
 )
-#: These words count outside the article only.
-OUTER = frozenset(("header", "masthead", "top", "banner"))
-COMMENTS = frozenset(("comment", "comments", "disqus", "respond"))
+#: These words count outside articles only.
+OUTER = frozenset(("header", "masthead", "top"))
+COMMENTS = frozenset(("comment", "comments", "commentlist", "disqus", "respond"))
+#: A class with one of these words tells how its element is, not what it is.
+STATES = frozenset("has no not with without is open opened closed enabled disabled status allow allowed".split())
 ARTICLE = frozenset(("article", "main"))
 ROOTS = frozenset(("html", "body"))
 #: What can be the article's container.
-CONTAINERS = ARTICLE | ROOTS | {"div", "section", "td", "center"}
+CONTAINERS = ARTICLE | ROOTS | {"div", "section", "td", "center", "form"}
 SIGMA = 2.0
 #: Share of the region's characters that its container must hold.
 SHARE = 0.9
 LINKS = 0.5
+#: Share of the region's characters from which an element is the page's frame.
+FRAME = 0.5
 
 _split = re.compile(r"[^a-z0-9]+").split
 _camel = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_unseen = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I).search
+_begun = re.compile(r"<[a-zA-Z/!?]").search
 
 
 class _Lines(HTMLParser):
-    """Collects lines: text, tags, characters in links, elements around it (a path of element numbers), boilerplate."""
+    """Collects elements, numbered as they open, and lines: text, tags, characters in links, the element around it.
+
+    The elements inside element n are those from n to last[n].
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, number, boilerplate from here on
-        self.count = 0
-        self.kinds: dict[int, str] = {}
-        self.open: dict[str, int] = {}
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
+        self.stack: list[tuple[str, int]] = [("", 0)]  # tag, number
+        self.kinds, self.parent, self.last = [""], [0], [0]
+        self.apart, self.named, self.said_comments = [False], [False], [False]
+        self.open: dict[str, list[int]] = {}  # places in the stack
+        self.blocks = [0]  # places of block elements in the stack
+        self.lines: list[tuple[str, int, int, int]] = []
         self.text: list[str] = []
         self.tags = self.linked = 0
 
@@ -70,86 +84,82 @@ class _Lines(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                apart = bool(self.stack) and self.stack[-1][2]
-                self.lines.append((text, self.tags, self.linked, tuple(n for _, n, _ in self.stack), apart))
+                self.lines.append((text, self.tags, self.linked, self.stack[-1][1]))
             self.text = []
         self.tags = self.linked = 0
 
-    def _apart(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in APART:
-            return True
-        inner = any(self.open.get(t) for t in ARTICLE)
-        if tag == "header" and not inner:
-            return True
+    def _judge(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, bool]:
+        """(holds no article text, is named as a part around the article, is named as comments)."""
         if tag in ROOTS:
-            return False
+            return False, False, False
+        inner = any(self.open.get(t) for t in ARTICLE)
+        apart, named, comments = tag in APART, tag == "form" or (tag == "header" and not inner), False
         for name, value in attrs:
-            if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
-                return True
-            if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-            if name in ("class", "id", "role") and value:
-                said = set(_split(_camel.sub("-", value).lower()))
-                if said & COMMENTS or (tag not in ARTICLE and (said & NAMES or (not inner and said & OUTER))):
-                    return True
-        return False
+            if name == "hidden" or (name == "aria-hidden" and value == "true"):
+                apart = True
+            elif name == "style" and value and _unseen(value):
+                apart = True
+            elif name in ("class", "id", "role") and value:
+                for token in value.split():
+                    said = set(_split(_camel.sub("-", token).lower()))
+                    if said & STATES:
+                        continue
+                    comments |= bool(said & COMMENTS)
+                    named |= tag not in ARTICLE and bool(said & NAMES or (not inner and said & OUTER))
+        return apart, named, comments
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self._flush()
         self.tags += 1
         if tag in VOID:
-            if tag in ("br", "wbr", "img"):
-                self.text.append(" " if tag == "br" else "")
+            if tag == "br":
+                self.text.append(" ")
             return
         if tag == "p" or tag in HEADINGS:
             self._close("p")
         elif tag in ("li", "option", "tr", "td", "th", "dd", "dt"):
             self._close(tag, ("ul", "ol", "table", "dl", "select", "menu"))
-        self.count += 1
-        self.kinds[self.count] = tag
-        apart = (bool(self.stack) and self.stack[-1][2]) or self._apart(tag, attrs)
-        if not apart and self.stack and self.stack[-1][0] == "header" and tag not in HEADINGS and tag not in ("div", "hgroup"):
-            apart = True  # of an article's header its headings stay
-        self.stack.append((tag, self.count, apart))
-        self.open[tag] = self.open.get(tag, 0) + 1
+        number = len(self.kinds)
+        self.kinds.append(tag)
+        self.parent.append(self.stack[-1][1])
+        self.last.append(number)
+        for marks, mark in zip((self.apart, self.named, self.said_comments), self._judge(tag, attrs), strict=True):
+            marks.append(mark)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, number))
 
     def _close(self, tag: str, until: tuple[str, ...] = ("article", "aside", "blockquote", "body", "div", "footer", "form", "header", "li", "main", "nav", "section", "td")) -> None:
         """End an open ``tag`` whose end tag was left out."""
-        if self.open.get(tag):
-            for at in range(len(self.stack) - 1, -1, -1):
-                if self.stack[at][0] == tag:
-                    self._pop(at)
-                    return
-                if self.stack[at][0] in until:
-                    return
+        if at := self.open.get(tag):
+            if all(not (other := self.open.get(t)) or other[-1] < at[-1] for t in until if t != tag):
+                self._flush()
+                self._pop(at[-1])
 
     def _pop(self, at: int) -> None:
-        self._flush()
-        for tag, _, _ in self.stack[at:]:
-            self.open[tag] -= 1
+        number = len(self.kinds) - 1
+        for tag, n in self.stack[at:]:
+            self.open[tag].pop()
+            self.last[n] = number
         del self.stack[at:]
+        while self.blocks[-1] >= at:
+            self.blocks.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self._flush()
         self.tags += 1
-        if self.open.get(tag):
-            at = len(self.stack) - 1
-            while self.stack[at][0] != tag:
-                at -= 1
-            if tag in BLOCK or not any(t in BLOCK for t, _, _ in self.stack[at:]):
-                if tag in BLOCK:
-                    self._pop(at)
-                else:
-                    for t, _, _ in self.stack[at:]:
-                        self.open[t] -= 1
-                    del self.stack[at:]
+        if at := self.open.get(tag):
+            # an inline element does not end the blocks inside it
+            if tag in BLOCK or at[-1] > self.blocks[-1]:
+                self._pop(at[-1])
         elif tag == "p":
             self._flush()
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][0] in ("script", "style", "template", "noscript"):
+        if self.stack[-1][0] in ("script", "style", "template", "noscript"):
             return
         self.text.append(data)
         if self.open.get("a"):
@@ -158,20 +168,47 @@ class _Lines(HTMLParser):
     def unknown_decl(self, data: str) -> None:
         pass
 
+    def end(self) -> None:
+        self.close()
+        self._flush()
+        self._pop(1)
+        self.last[0] = len(self.kinds) - 1
+
 
 def _read(html: str) -> _Lines:
-    parser = _Lines()
+    # a comment, and then a tag, that never ends takes the rest of the page with it
+    if (at := html.find("<!--", html.rfind("-->") + 1)) >= 0:
+        html = html[:at]
+    tail = html.rfind(">") + 1
+    if found := _begun(html, tail):
+        html = html[: found.start()]
     try:
+        parser = _Lines()
         parser.feed(html)
-        parser.close()
+        parser.end()
     except AssertionError:  # a marked section that the parser does not know: read it as a declaration
         parser = _Lines()
         parser.feed(html.replace("<![", "<!"))
-        parser.close()
-    parser._flush()
+        parser.end()
     return parser
 
 
+def _down(marks: list[bool], parent: list[int]) -> np.ndarray:
+    """Marks handed to everything inside."""
+    out = list(marks)
+    for n in range(1, len(out)):
+        out[n] = out[n] or out[parent[n]]
+    return np.array(out)
+
+
+def _mass(line: np.ndarray, weight: np.ndarray, parent: list[int]) -> list[float]:
+    """The weight of all lines inside each element."""
+    out = np.bincount(line, weights=weight, minlength=len(parent)).tolist()
+    for n in range(len(out) - 1, 0, -1):
+        out[parent[n]] += out[n]
+    return out
+
+
 def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian smoothing along the page; the ends are weighed by what there is."""
     if len(ratio) < 2:
@@ -203,33 +240,55 @@ def main_text(html: str | None) -> str:
         return ""
     page = _read(html)
     lines = page.lines
-    mine = [i for i, x in enumerate(lines) if not x[4]]
-    if not mine:
+    if not lines:
         return ""
+    around = np.array([x[3] for x in lines])
     size = np.array([len(x[0]) for x in lines], dtype=float)
     linked = np.minimum(np.array([x[2] for x in lines], dtype=float), size)
-    ratio = np.where([x[4] for x in lines], 0.0, (size - linked) / np.maximum(1, np.array([x[1] for x in lines])))
-    level = smooth(ratio)
+    ratio = (size - linked) / np.maximum(1, np.array([x[1] for x in lines]))
+    never = _down([a or b for a, b in zip(page.apart, page.said_comments, strict=True)], page.parent)[around]
+    # the region as the ratios give it, or what stands in articles; then what names take from it: all but the elements that hold most of it
+    level = smooth(np.where(never, 0.0, ratio))
+    region = ~never & (level >= threshold(level))
+    marked = ~never & _down([kind in ARTICLE for kind in page.kinds], page.parent)[around]
+    held = _mass(around, np.where(marked if marked.any() else region, size, 0.0), page.parent)
+    frame = FRAME * held[0]
+    gone = never | _down([named and held[n] < frame for n, named in enumerate(page.named)], page.parent)[around]
+    if gone.all():
+        return ""
+    level = smooth(np.where(gone, 0.0, ratio))
     cut = threshold(level)
-    region = [i for i in mine if level[i] >= cut] or mine
-    total = sum(size[i] for i in region)
-    held: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    for i in region:
-        for d, n in enumerate(lines[i][3]):
-            held[n] = held.get(n, 0.0) + size[i]
-            depth[n] = d
-    fit = [n for n in held if held[n] >= SHARE * total and page.kinds[n] in CONTAINERS]
+    region = ~gone & (level >= cut)
+    if not region.any():
+        region = ~gone
+    held = _mass(around, np.where(region, size, 0.0), page.parent)
+    fit = [n for n in range(1, len(held)) if held[n] >= SHARE * held[0] and page.kinds[n] in CONTAINERS]  # a chain, from the outermost
     named = [n for n in fit if page.kinds[n] in ARTICLE]
-    container = max(named or fit, key=lambda n: depth[n], default=None)
-    if container is not None and not named and sum(container in lines[i][3] for i in mine) == 1:
-        # one block's own wrapper: the article is the element around it
-        path = next(lines[i][3] for i in region if container in lines[i][3])
-        container = next((n for n in reversed(path[: path.index(container)]) if page.kinds[n] in CONTAINERS), container)
-    # in a named article every block is the article's, links or not
-    whole = container in named
-    out = [i for i in mine if (container is None or container in lines[i][3]) and (whole or not (linked[i] > LINKS * size[i] and level[i] < cut))]
-    return "\n".join(lines[i][0] for i in out)
+    articles = [n for n in range(1, len(held)) if page.kinds[n] == "article" and held[n] > 0]
+    whole = True
+    if named and page.kinds[named[-1]] == "article" or (articles and not named and sum(held[n] for n in articles if not any(page.kinds[m] == "article" for m in _above(n, page.parent))) >= SHARE * held[0]):
+        chosen = [n for n in range(1, len(held)) if page.kinds[n] == "article"]
+    elif named:
+        chosen = [named[-1]]
+    else:
+        whole = False
+        chosen = fit[-1:]
+        if chosen and int(((around >= chosen[0]) & (around <= page.last[chosen[0]]) & ~gone).sum()) == 1:
+            # one block's own wrapper: the article is the element around it
+            chosen = [next((n for n in _above(chosen[0], page.parent) if page.kinds[n] in CONTAINERS), chosen[0])]
+    inside = np.zeros(len(page.kinds) + 1, np.int64)
+    for n in chosen:
+        inside[n] += 1
+        inside[page.last[n] + 1] -= 1
+    mine = (np.cumsum(inside)[around] > 0) | (not chosen)
+    keep = ~gone & mine & (whole | ~((linked > LINKS * size) & (level < cut)))
+    return "\n".join(lines[i][0] for i in np.flatnonzero(keep))
+
+
+def _above(n: int, parent: list[int]):
+    """The elements around element n, from the innermost."""
+    while n := parent[n]:
+        yield n
 
 
 def _extracted(batches):

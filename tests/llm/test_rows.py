@@ -2,6 +2,7 @@
 
 import io
 import random
+import time
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
@@ -209,7 +210,7 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>
 
 def test_main_text():
     assert main_text(PAGE).split("\n") == [
-        "The Title & more", "First paragraph with bold text, long enough to count as the content.", "Short.", "A quotation that is part of the article, of fair length too.", "item one", "item two",
+        "The Title & more", "By someone", "First paragraph with bold text, long enough to count as the content.", "Short.", "A quotation that is part of the article, of fair length too.", "item one", "item two",
         "Last paragraph, again with quite a number of words in it.",
     ]
     plain = "<body><div><a href=1>Home page</a> <a href=2>About</a></div><div>" + "".join(f"<p>Paragraph {i} has a good number of words to be read.</p>" for i in range(5)) + "<p>End.</p></div><div><a href=3>More</a><a href=4>Links</a></div></body>"
@@ -381,3 +382,45 @@ def test_linked_references_inside_an_article_stay():
     page = "<html><body><{0}>" + text + "<ul>" + refs + "</ul></{0}></body></html>"
     assert main_text(page.format("article")).split("\n")[8:] == [f"Ref {i}" for i in range(12)]
     assert "Ref 11" not in main_text(page.format("div"))
+
+
+PARAGRAPHS = [f"Paragraph {i} has a good number of words to be read, and then some more of them." for i in range(6)]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+FRAMES = ['<div id="top">{}</div>', '<div class="content has-sidebar">{}</div>', '<div class="page-widget-wrapper">{}</div>', '<div class="search-result-page">{}</div>', '<form id="aspnetForm">{}</form>']
+
+
+@pytest.mark.parametrize("frame", FRAMES)
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", '<article class="post comment-open">{}</article>', "<main><div>{}</div></main>"])
+def test_names_around_the_article_take_nothing(frame, inner):
+    side = '<div class="sidebar"><p>Side text that is fairly long for what it is worth here.</p></div><div class="comments"><p>What a reader had to say about all this, at some length.</p></div>'
+    page = f"<html><body><nav><a href=1>Home</a><a href=2>News</a></nav>{frame.format(inner.format(BODY) + side)}<footer>Copyright of somebody</footer></body></html>"
+    assert main_text(page).split("\n") == PARAGRAPHS
+
+
+def test_all_articles_and_their_headers_stay():
+    page = f"<body><nav><a href=1>Home</a></nav>{{}}<article><header><h1>Title</h1><p>Standfirst.</p></header>{BODY}</article><article><p>Second one.</p></article>{{}}</body>"
+    want = ["Title", "Standfirst.", *PARAGRAPHS, "Second one."]
+    assert main_text(page.format("", "")).split("\n") == want == main_text(page.format("<main>", "</main>")).split("\n")
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_pages_of_a_second_generator(seed):
+    """Blocks of random tags and lengths among boilerplate of random kinds: exactly the article's blocks come out."""
+    rng = random.Random(seed)
+    say = lambda n: " ".join(rng.choice(["Ålpha", "beta", "gamma's", "d&lt;e", "x&nbsp;y"]) for _ in range(n))
+    plain = lambda t: " ".join(t.replace("&lt;", "<").replace("&nbsp;", " ").split())
+    blocks = [(rng.choice(["p", "h2", "blockquote", "pre", "div"]), say(rng.choice([1, 2, 12, 30, 60]))) for _ in range(rng.randrange(5, 25))] + [("p", say(80))] * 3
+    junk = lambda: rng.choice([
+        f"<nav><ul>{''.join(f'<li><a href=/{i}>{say(2)}</a>' for i in range(8))}</ul></nav>", f'<div class="{rng.choice(["ad", "cookie-notice", "sidebar left", "newsletter-signup", "related"])}"><p>{say(rng.randrange(3, 25))}</p></div>',
+        f"<aside>{say(20)}</aside>", f"<script>var x = '<p>{say(5)}</p>';</script>", f"<!-- {say(9)} -->", f"<form><label>{say(3)}</label><input><button>{say(1)}</button></form>", f'<section id="comments">{"".join(f"<div class=comment-body><p>{say(25)}</p></div>" for _ in range(4))}</section>',
+    ])
+    body = "".join(f"<{t}>{text[:6]}<b>{text[6:]}</b></{t}>" if "&" not in text[:8] else f"<{t}>{text}</{t}>" for t, text in blocks)
+    page = f"<html><head><title>{say(4)}</title></head><body>{junk()}{junk()}<{{0}}>{body}</{{0}}>{junk()}{junk()}<footer>{say(9)}</footer></body></html>"
+    assert main_text(page.format(rng.choice(["article", "main"]))).split("\n") == [plain(text) for _, text in blocks]
+
+
+@pytest.mark.parametrize("part", ["<!--", "<div>", "<p>", "<", "</", '<a href="', "<![CDATA[", "<!", "&amp"])
+def test_long_odd_pages_take_linear_time(part):
+    began = time.time()
+    main_text(part * (200_000 // len(part)))
+    assert time.time() - began < 3
