@@ -74,6 +74,30 @@ def rest() -> None:
         _timer[0].start()
 
 
+class Known:
+    """Keys that a task found frequent, each with a value, for the rest of the task.  When it is full no more are learned."""
+
+    def __init__(self, most: int = 1 << 16) -> None:
+        self.most, self.keys, self.values = most, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def find(self, keys: np.ndarray, default: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's value (else its default), and which keys are known."""
+        if not len(self.keys):
+            return default.copy(), np.zeros(len(keys), bool)
+        spot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[spot] == keys
+        return np.where(known, self.values[spot], default), known
+
+    def learn(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keys that are not known yet; of one that stands twice the first counts."""
+        room = self.most - len(self.keys)
+        if len(keys) and room > 0:
+            keys, first = np.unique(keys, return_index=True)
+            keys, values = keys[:room], values[first[:room]]
+            at = np.searchsorted(self.keys, keys)
+            self.keys, self.values = np.insert(self.keys, at, keys), np.insert(self.values, at, values)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -77,6 +77,36 @@ def test_near_duplicates_in_several_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates(table(spark, texts), 2).collect()} == want
 
 
+def test_strays_of_a_large_family_meet_its_other_blocks(spark, monkeypatch):
+    """A chain of texts, each linked to the next alone, ends far from the family's head."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 4)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts, now = [], list(base)
+    for _ in range(30):
+        texts.append(" ".join(now))
+        now[rng.randrange(60)] = f"v{rng.random()}"
+    texts += [" ".join(base[:50] + [f"u{i}"] + base[51:]) for i in range(20)]
+    _, want = brute(texts, 2)
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(table(spark, texts), 2).collect()} == want
+
+
+def test_rows_of_one_doc_id_keep_their_own_texts(spark):
+    """Signatures and sets of different rows are never paired."""
+    a, b = near_texts(4, 1, 2, 80), near_texts(5, 1, 2, 80)
+    rows = near_duplicates(table(spark, [a[0], b[0], a[0] + " x", b[0] + " y"], [7, 7, 8, 9])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(7, 7), (7, 7), (8, 7), (9, 7)]
+    assert len({r["group_id"] for r in rows}) == 2
+
+
+def test_frequent_keys_are_known_for_a_whole_task():
+    ids = np.arange(60)
+    sig = [np.ones(minhash.SYMBOLS, np.uint16).tobytes()] * 60
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[k : k + 20]), pa.array(sig[k : k + 20], pa.binary())], names=["node", "sig"]) for k in (0, 20, 40)]
+    rows = [r for b in minhash._keyed(batches) for r in b.to_pylist()]
+    assert {r["via"] for r in rows if r["doc"] != 0} == {0} and {r["via"] for r in rows if r["doc"] == 0} == {None}
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert near_duplicates(table(spark, [])).count() == 0
     rows = near_duplicates(table(spark, ["a b c", "a b c", "q r s"], [None, 7, 7])).collect()
@@ -89,8 +119,11 @@ def test_near_duplicates_of_odd_tables(spark):
 def test_deduplicated_keeps_one_of_each(spark):
     base = "one two three four five six seven eight nine ten"
     docs = table(spark, [base, base, "quite another text of some length here", None, base], [5, 3, 4, 8, 3])
+    rows = docs.collect()
+    docs = spark.createDataFrame([*rows, tuple(rows[2])[:1] + ("no near copy of what stands under four, but long",) + tuple(rows[2])[2:], rows[2], tuple(rows[1])[:1] + (base + " eleven",) + tuple(rows[1])[2:]], DOCS)
     out = deduplicated(docs)
-    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [3, 4, 8]
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [3, 4, 4, 8]
+    assert len({r["text"] for r in out.collect() if r["doc_id"] == 4}) == 2
 
 
 def test_signatures_share_a_key_within_the_distance():
