@@ -10,7 +10,7 @@ A shard holds documents by ascending identifier:
     footer   struct FOOTER: where index and filter lie, entries, ids, bytes of an id, magic
 
 Values are ids as little-endian integers of two bytes if the vocabulary allows, else four.
-Shards are range partitions of the identifiers.  The manifest table names the shards of a finished
+Shards are range partitions of the identifiers, or parts of one where it grows beyond SHARD_BYTES.  The manifest table names the shards of a finished
 write; a shard written twice (a lost executor, a speculative task) is a second file that no manifest names.
 """
 
@@ -30,6 +30,10 @@ from lumenfold.llm._spark import bound_batches, materialize, scratch_path
 from lumenfold.llm._text import pieces
 from lumenfold.llm._tokens import encoder
 
+#: Stored bytes and keys from which a shard is closed and the next begun: what a task holds of its keys.
+SHARD_BYTES, SHARD_KEYS = 256 << 20, 2_000_000
+#: Input of a task that writes shards.
+TASK_BYTES = 512 << 20
 #: Tasks that read shards at most.
 MAX_READERS = 10_000
 BLOCK_BYTES, BITS_PER_KEY, HASHES = 64 << 10, 10, 7
@@ -191,23 +195,30 @@ def _write(folder: str, tokenizer: str, keep_space: bool, end_id: int, width: in
         from pyspark import TaskContext
 
         tool, end = encoder(tokenizer, keep_space), np.array([end_id], dtype="<u4")
-        path = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"
-        system, name = fs.FileSystem.from_uri(path)
-        out = writer = first = None
+        out = writer = None
+        shards = 0
+
+        def done():
+            writer.close()
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (first, writer.keys[-1], path, len(writer.keys), writer.ids)], names=["first_key", "last_key", "path", "documents", "ids"])
+
         for rows, data, offsets in pieces(batches, "text"):
-            if writer is None:
-                system.create_dir(name.rpartition("/")[0], recursive=True)
-                out = system.open_output_stream(name)
-                writer = Writer(out, width)
             keys = [key_of(x) for x in rows.column(0).to_pylist()]
-            first = first or keys[0]
             ids, at = tool.encode_rows(data, offsets)
             for key, a, b in zip(keys, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if writer is None:
+                    path = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{shards:06d}-{uuid.uuid4().hex}.sst"
+                    system, name = fs.FileSystem.from_uri(path)
+                    system.create_dir(name.rpartition("/")[0], recursive=True)
+                    out = system.open_output_stream(name)
+                    writer, first, shards = Writer(out, width), key, shards + 1
                 writer.add(key, np.concatenate([ids[a:b], end]))
+                if writer.at >= SHARD_BYTES or len(writer.keys) >= SHARD_KEYS:
+                    yield done()
+                    writer = None
         if writer is not None:
-            writer.close()
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (first, writer.keys[-1], path, len(writer.keys), writer.ids)], names=["first_key", "last_key", "path", "documents", "ids"])
+            yield done()
 
     return run
 
@@ -215,13 +226,19 @@ def _write(folder: str, tokenizer: str, keep_space: bool, end_id: int, width: in
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, keep_space: bool = True, end_id: int = 0, vocabulary: int = 1 << 32) -> DataFrame:
     """Write the rows of ``docs`` (doc_id, text) below ``folder``; returns the manifest, a row per shard.
 
-    Null and empty texts hold ``end_id`` alone; rows that repeat a doc_id are entries of their own; a null
-    doc_id sorts first.  ``folder`` must be shared by all executors.  No rows give no shards.
+    Null and empty texts hold ``end_id`` alone; rows that repeat a doc_id are entries of their own, by a hash of their texts; a null
+    doc_id sorts first.  A range of one doc_id may spread over several shards.  ``folder`` must be shared by all executors.  No rows give no shards.
     """
-    bound_batches(docs.sparkSession)
-    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parted = typed.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    rows = parted.mapInArrow(_write(folder, tokenizer, keep_space, end_id, 2 if vocabulary <= 1 << 16 else 4), "first_key binary, last_key binary, path string, documents long, ids long")
+    spark = docs.sparkSession
+    bound_batches(spark)
+    text = F.col("text").cast("string")
+    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    # as many tasks as the input's size asks for, by Spark's own estimate
+    size = int(str(typed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("th").asc()]
+    parts = -(-size // TASK_BYTES)
+    parted = typed.repartitionByRange(parts, *order) if int(spark.conf.get("spark.sql.shuffle.partitions")) < parts < MAX_READERS * 100 else typed.repartitionByRange(*order)
+    rows = parted.sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(_write(folder, tokenizer, keep_space, end_id, 2 if vocabulary <= 1 << 16 else 4), "first_key binary, last_key binary, path string, documents long, ids long")
     return materialize(rows, "manifest")
 
 
