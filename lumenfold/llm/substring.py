@@ -7,7 +7,7 @@ whose nominees repeat are extended to the next length.  At the full length every
 compared by 128 bits of hash, and is removed where a smaller doc_id has it too.
 
 Rows that share a slice of text are compared there, and travel no further under the shared key; so a
-passage that a third of all documents hold sends one row per slice.  Word-for-word copies are settled by a hash of the
+passage that a third of all documents hold sends one row per task, which remembers what it found frequent.  Word-for-word copies are settled by a hash of the
 whole sequence and take no part in the later levels.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm._spark import bound_batches, hot_lookup, materialize
-from lumenfold.llm._text import mix, pieces, row_of, tenant, window_hashes, word_hashes, words
+from lumenfold.llm._text import Known, mix, pieces, row_of, tenant, window_hashes, word_hashes, words
 
 WIDTH = 50
 SECOND = 0x6C62272E07BB0142
@@ -85,8 +85,8 @@ class Words:
         return found, g[found]
 
 
-def _local(h: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For hashes of one slice: which have two documents here at least, and one row of each of those hashes."""
+def _local(h: np.ndarray, docs: np.ndarray, before: Known) -> tuple[np.ndarray, np.ndarray]:
+    """For hashes of one slice: which have two documents in this task at least, and one row of each of those hashes not sent yet."""
     order = np.lexsort((docs, h))
     new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
     at = np.flatnonzero(new)
@@ -94,8 +94,11 @@ def _local(h: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     last = np.concatenate([at[1:], [len(h)]]) - 1
     many = docs[order][at] != docs[order][last]
     sure = np.zeros(len(h), bool)
-    sure[order] = many[group]
-    return sure, order[at[many]]
+    _, known = before.find(h[order][at], docs[order][at])
+    sure[order] = (many | known)[group]
+    heads = order[at[many & ~known]]
+    before.learn(h[heads], docs[heads])
+    return sure, heads
 
 
 _NOMINEES = "doc_id long, th long, pos array<int>, h long, sure boolean"
@@ -113,14 +116,14 @@ def _grouped(own: np.ndarray, pos: np.ndarray, *hashes: np.ndarray) -> tuple[np.
     return order[at], pa.ListArray.from_arrays(pa.array(np.concatenate([at, [len(order)]]), pa.int32()), pa.array(pos[order], pa.int32()))
 
 
-def _nominated(doc: np.ndarray, th: np.ndarray, own: np.ndarray, pos: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+def _nominated(doc: np.ndarray, th: np.ndarray, own: np.ndarray, pos: np.ndarray, h: np.ndarray, before: Known) -> pa.RecordBatch:
     """Rows for the shuffle by h, one per document and hash.
 
     A nominee known to repeat travels under a hash of its own; its hash goes once, without a document.
     """
     one, lists = _grouped(own, pos, h)
     own, first, h = own[one], pos[one], h[one]
-    sure, heads = _local(h, doc[own]) if len(h) else (np.zeros(0, bool), np.zeros(0, np.int64))
+    sure, heads = _local(h, doc[own], before) if len(h) else (np.zeros(0, bool), np.zeros(0, np.int64))
     key = np.where(sure, mix(doc[own].view(np.uint64) * _U(0x100000001B3) + first.astype(np.uint64)), h)
     none = np.concatenate([np.zeros(len(h), bool), np.ones(len(heads), bool)])
     both = np.concatenate([np.arange(len(h)), heads])
@@ -133,6 +136,7 @@ def _nominated(doc: np.ndarray, th: np.ndarray, own: np.ndarray, pos: np.ndarray
 def _first(width: int, length: int):
     def run(batches):
         tenant("substring")
+        before = Known()
         for rows, data, offsets in pieces(batches, "text"):
             w = Words(data, offsets, width)
             whole = [np.zeros(rows.num_rows, np.uint64) for _ in range(2)]
@@ -152,7 +156,7 @@ def _first(width: int, length: int):
             pos, h, own = pos[mine], h[mine], own[mine]
             one, where = _grouped(own, pos - w.at[:-1][own], h)
             h, own = h[one], own[one]
-            sure, heads = _local(h, docs[own]) if len(h) else (np.zeros(0, bool), np.zeros(0, np.int64))
+            sure, heads = _local(h, docs[own], before) if len(h) else (np.zeros(0, bool), np.zeros(0, np.int64))
             head = np.zeros(len(h), bool)
             head[heads] = True
             ptr = pa.array(np.concatenate([[0], np.cumsum(np.bincount(own, minlength=rows.num_rows))]), pa.int32())
@@ -177,12 +181,13 @@ def _survivors(rows: pa.RecordBatch, w: Words) -> np.ndarray:
 
 def _next(width: int, before: int, length: int):
     def run(batches):
+        sent = Known()
         for rows, data, offsets in pieces(batches, "text"):
             w = Words(data, offsets, width)
             doc, th = rows.column(0).to_numpy(), rows.column(1).to_numpy()
             pos, h = w.nominees(length, w.alive(before, _survivors(rows, w)))
             own = w.row[pos]
-            yield _nominated(doc, th, own, pos - w.at[:-1][own], h)
+            yield _nominated(doc, th, own, pos - w.at[:-1][own], h, sent)
 
     return run
 
@@ -192,6 +197,7 @@ _LAST = "doc_id long, th long, pos array<int>, len int, h1 long, h2 long, sure b
 
 def _last(width: int, before: int):
     def run(batches):
+        asked, second = Known(), Known()  # by a window's first hash: a document that asks for it, the window's second hash
         for rows, data, offsets in pieces(batches, "text"):
             w = Words(data, offsets, width)
             doc, th = rows.column(0).to_numpy(), rows.column(1).to_numpy()
@@ -204,7 +210,14 @@ def _last(width: int, before: int):
             order = np.lexsort((d, h2, h1))
             a, b = h1[order], h2[order]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            least = d[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            at, group = np.flatnonzero(new), np.cumsum(new) - 1
+            first = d[order][at]
+            several = d[order][np.concatenate([at[1:], [len(order)]]) - 1] != first
+            earlier, known = asked.find(a[at], first)
+            other, _ = second.find(a[at], b[at].view(np.int64))
+            asked.learn(a[at][several & ~known], first[several & ~known])
+            second.learn(a[at][several & ~known], b[at].view(np.int64)[several & ~known])
+            least = np.where(other == b[at].view(np.int64), np.minimum(first, earlier), first)[group]
             sure = np.zeros(len(pos), bool)
             sure[order] = d[order] > least
             # windows surely removed go as runs of neighbours, under a hash of their own
