@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm._spark import bound_batches
+from lumenfold.llm._spark import bound_batches, hot_lookup, materialize
 from lumenfold.llm._text import mix, pieces, tenant
 
 ORDER = 4
@@ -233,7 +233,7 @@ def _counted(order: int):
 ADDED = {"lang_pred": "string", "score": "double", "cross_entropy": "double", "accepted": "boolean"}
 
 
-def _judged(shared, columns: list[str]):
+def _judged(shared, columns: list[str], added: list[str]):
     def run(batches):
         tenant("language")
         model: Model = shared.value
@@ -252,19 +252,19 @@ def _judged(shared, columns: list[str]):
                 n = rows.num_rows
                 out = [pa.array(["und"] * n), pa.array([0.0] * n), pa.nulls(n, pa.float64()), pa.array([True] * n)]
             kept = [rows.column(rows.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*kept, *out], names=[*columns, *ADDED])
+            yield pa.RecordBatch.from_arrays([*kept, *out], names=[*columns, *added])
 
     return run
 
 
-def _apply(docs: DataFrame, model: Model) -> DataFrame:
+def _apply(docs: DataFrame, model: Model, names: tuple[str, ...] = tuple(ADDED)) -> DataFrame:
     if model.size() > MAX_MODEL:
         raise ValueError(f"the model has {model.size()} bytes; at most {MAX_MODEL} may be sent to the executors")
     bound_batches(docs.sparkSession)
     typed = docs.withColumn("text", F.col("text").cast("string"))
-    columns = [c for c in typed.columns if c not in ADDED]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in typed.select(*columns).schema] + [f"{c} {t}" for c, t in ADDED.items()])
-    return typed.select(*columns).mapInArrow(_judged(docs.sparkSession.sparkContext.broadcast(model), columns), schema)
+    columns = [c for c in typed.columns if c not in names]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in typed.select(*[f"`{c}`" for c in columns]).schema] + [f"`{c}` {t}" for c, t in zip(names, ADDED.values(), strict=True)])
+    return typed.select(*[f"`{c}`" for c in columns]).mapInArrow(_judged(docs.sparkSession.sparkContext.broadcast(model), columns, list(names)), schema)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -279,14 +279,16 @@ def learn(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE_DOCUMENTS) -
     """
     bound_batches(docs.sparkSession)
     labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and text is not null and lang is not null").filter(~held_out())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for name, n in sorted(sizes.items()):
-        chosen = chosen | ((F.col("lang") == name) & (place < int(min(1.0, sample / n) * 1_000_000)))
-    taught = labelled.filter(chosen)
+    # a hash of doc_id from 0 to 2 ** 63 - 1 against the language's share of that: the expectation holds at any size
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("most", (F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n")) * F.lit(float(2**63 - 1024))).cast("long"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    taught = hot_lookup(labelled, sizes, ["lang"], "n", "doc_id", ["most"]).filter((F.col("most") >= 2**63 - 4096) | (place < F.col("most"))).select("doc_id", "text", "lang")
+    taught = materialize(taught, "taught")
     spared = F.pmod(F.xxhash64(F.lit("calibration"), F.col("doc_id")), F.lit(CALIBRATION)) == 0
-    grams = taught.filter(~spared).select("text", "lang").mapInArrow(_counted(order), "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    grams = materialize(taught.filter(~spared).select("text", "lang").mapInArrow(_counted(order), "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    if (rows := grams.count()) * 8 * order > MAX_MODEL:
+        raise ValueError(f"{rows} n-grams of all languages are more than a model of {MAX_MODEL} bytes holds")
+    grams = grams.toArrow()
     counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     names = np.array(grams.column("lang").to_pylist(), dtype=object)
     packed = np.frombuffer(b"".join(grams.column("gram").to_pylist()), dtype=np.uint32).reshape(-1, order)
@@ -301,6 +303,19 @@ def learn(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE_DOCUMENTS) -
     return model
 
 
+def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language is known, all columns as they are, whatever their names.
+
+    Null texts, texts without a letter and those that fit no learned language go; where nothing teaches a language all others stay.
+    Rows are judged one by one, so ties and repeated rows have one fate; no rows give none.
+    """
+    names = tuple(ADDED)
+    while set(names) & set(docs.columns):
+        names = tuple(f"_{c}" for c in names)
+    judged = _apply(docs.withColumn("text", F.col("text").cast("string")), model or learn(docs), names)
+    return judged.filter(F.col(names[list(ADDED).index("accepted")])).select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in docs.schema])
+
+
 def identify(docs: DataFrame, model: Model | None = None, order: int = ORDER, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """``docs`` with lang_pred, score, cross_entropy and accepted (columns of these names are replaced).
 
