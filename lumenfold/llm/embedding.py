@@ -29,7 +29,8 @@ GRID, BOX = 4, 8
 SAMPLE = 20_000
 #: By so much single precision may be wrong.
 MARGIN = 1e-4
-SALTS = 8
+#: Blocks of one cell that a task of the blocks' join has on average at most, on its left side.
+CELL_BLOCKS = 500
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -212,8 +213,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     blocks = materialize(sequence.mapInArrow(_cut(kind, directions), "block long, dims int, lo int, hi int, ids binary, weight binary, raw binary, box array<double>"), "blocks")
     # pairs of blocks by the first coordinate's cells, then by their boxes; salted, since few cells may hold all blocks
     meta = blocks.select("block", "dims", "lo", "hi", "box")
-    left = meta.withColumn("cell", F.explode(F.sequence("lo", "hi"))).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)))
-    right = meta.select(*[F.col(c).alias(f"{c}2") for c in meta.columns]).withColumn("cell", F.explode(F.expr("sequence(lo2 - 1, hi2 + 1)"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    salts = max(8, -(-blocks.count() // CELL_BLOCKS))
+    left = meta.withColumn("cell", F.explode(F.sequence("lo", "hi"))).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)))
+    right = meta.select(*[F.col(c).alias(f"{c}2") for c in meta.columns]).withColumn("cell", F.explode(F.expr("sequence(lo2 - 1, hi2 + 1)"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
     apart = F.expr("aggregate(sequence(0, cast(size(box) / 2 as int) - 1), 0D, (s, i) -> s + pow(greatest(0D, box[i] - box2[cast(size(box) / 2 as int) + i], box2[i] - box[cast(size(box) / 2 as int) + i]), 2))")
     near = left.join(right, ["cell", "salt"]).filter((F.col("dims") == F.col("dims2")) & (F.col("block") <= F.col("block2")) & (F.col("cell") == F.greatest(F.col("lo"), F.col("lo2") - 1)) & (apart <= eps * eps + 1e-9)).select("block", "block2")
     first = blocks.select("block", "dims", "ids", "weight", "raw")
