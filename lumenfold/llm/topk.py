@@ -26,6 +26,8 @@ GROUP_ROWS, QUERY_ROWS = 4096, 512
 DEPTHS = (0.125, 0.5, 1.0)
 #: Reading stops for a query when no more candidates than this stand.
 FEW = 64
+#: The greatest long: scores beyond it, or below its negative, count as these.
+MOST = 2**63 - 1
 
 
 def nra(x: np.ndarray, q: np.ndarray, k: int, own: np.ndarray) -> list[np.ndarray]:
@@ -76,6 +78,7 @@ def _searched(k: int, kind: str):
                         out += [(int(o[i]), int(c[found[j]]), int(score[j])) for j in order]
                     else:  # beyond what doubles hold: whole numbers of Python
                         whole = [(sum(int(a) * int(b) for a, b in zip(x[j], q[i], strict=True)), int(c[j])) for j in found]
+                        whole = [(min(max(s, -MOST - 1), MOST), v) for s, v in whole]
                         out += [(int(o[i]), v, s) for s, v in sorted(whole, key=lambda t: (-t[0], t[1]))[:k]]
                 cols = list(zip(*out, strict=True)) or [()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["query_id", "vec_id", "score"])
@@ -89,7 +92,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256) -
     Components become floor(scale * x).  Queries are the rows of ``vectors`` (vec_id, embedding) whose vec_id is divisible by
     ``every``, candidates all rows with another vec_id; ties go to the smaller vec_id.  Vectors that are null, empty, or hold null or
     non-finite components take no part, nor rows without vec_id; vectors of different lengths don't meet.
-    Rows that repeat a vec_id are candidates each, but one query if they are equal.
+    A score beyond a long's range is the nearest long, and ties with its like.  Rows that repeat a vec_id are candidates each, but one query if they are equal.
     """
     bound_batches(vectors.sparkSession)
     rows, kind = packed(vectors, scale)

@@ -269,15 +269,14 @@ def test_top_k(spark, kind):
 
 
 def test_top_k_beyond_doubles(spark):
-    rows = [(0, [3e14, 1.0], 0), (1, [3e14, 2.0], 0), (2, [3e14, 3.0], 0)]
+    """Scores beyond 2 ** 53 are exact, those beyond a long are the nearest long."""
+    rows = [(0, [3e14, 1.0], 0), (1, [3e14, 2.0], 0), (2, [-3e14, 3.0], 0), (50, [1e6, 1.0], 0), (51, [1e6, 3.0], 0), (52, [1e6, 2.0], 0)]
     whole = {i: [math.floor(256 * x) for x in e] for i, e, _ in rows}
-    want = sorted(((-sum(a * b for a, b in zip(whole[0], whole[i], strict=True)), i) for i in (1, 2)))
-    try:
-        got = [(r["vec_id"], r["score"]) for r in top_k(vectors(spark, rows, "double")).orderBy("rank").collect()]
-    except Exception as e:  # a score beyond a long can't be returned
-        assert "ArrowInvalid" in str(e) or "OverflowError" in str(e) or "too large" in str(e)
-    else:
-        assert got == [(i, -s) for s, i in want]
+    want = []
+    for q in (0, 50):
+        scored = sorted((-min(max(sum(a * b for a, b in zip(whole[q], v, strict=True)), -(2**63)), 2**63 - 1), i) for i, v in whole.items() if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])]
+    assert sorted(tuple(r) for r in top_k(vectors(spark, rows, "double")).collect()) == sorted(want)
 
 
 @pytest.mark.parametrize("kind", ["float", "double"])
