@@ -9,30 +9,38 @@ At the end two at most are undecided.
 Sources are worked on in blocks of bounded size in parallel; what a block leaves undecided (two documents) goes to
 blocks of the next level, with its probabilities as they are, so all sums still hold.  The last block of a source
 lands: its remainder is decided, and a few documents exchanged, so that the words come nearest to the target.  Directions
-and landings depend on hashes of doc_id alone, so reruns agree.
+and landings depend on hashes of doc_id, text and source alone, so reruns agree.
+
+Rows equal in these three are units of their own, numbered from 0; which of them has which number makes no difference.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm._spark import bound_batches, materialize
+from lumenfold.llm._spark import bound_batches, hot_lookup, materialize
 from lumenfold.llm._text import mix, pieces, tenant, words
 
 BLOCK = 2_000
-#: The columns of a unit on its way: a document, its words, its probability.
-_UNIT = "unit long, source string, size long, p double"
+#: The columns of a unit on its way: a document, its source, its words, its probability.
+_UNIT = "unit long, skey string, size long, p double"
 _EDGE = 1e-9
 
 
 def _counted(batches):
+    """base, doc_id, source and size of rows, with the task and the row's number in it."""
+    from pyspark import TaskContext
+
     tenant("mixing")
+    part, at_row = TaskContext.get().partitionId(), 0
     for rows, data, offsets in pieces(batches, "text"):
         _, _, at = words(data, offsets)
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(np.diff(at))], names=["unit", "doc_id", "source", "size"])
+        n = rows.num_rows
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(np.diff(at)), pa.array([part] * n, pa.int32()), pa.array(np.arange(at_row, at_row + n))], names=["base", "doc_id", "source", "size", "part", "at"])
+        at_row += n
 
 
 def targets(sizes: dict, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict:
@@ -134,53 +142,76 @@ def _flown(table: pa.Table) -> pa.Table:
     out = np.array(flight(words_of.tolist(), p.tolist(), coin.tolist()))
     if table.column("final")[0].as_py():
         out = landing(words_of, out, float((words_of * p).sum()))
-    return pa.table({"unit": unit, "source": table.column("source").take(pa.array(order)), "size": size, "p": pa.array(out, pa.float64())})
+    return pa.table({"unit": unit, "skey": table.column("skey").take(pa.array(order)), "size": size, "p": pa.array(out, pa.float64())})
+
+
+def _base():
+    """A number for rows equal in doc_id, text and source."""
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    return F.xxhash64(F.col("doc_id"), text, text.isNull(), source, source.isNull())
+
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (base, part, at) with a number from 0 among those of one base, however many: by task, then within it."""
+    counts = rows.groupBy("base", "part").agg(F.count(F.lit(1)).alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("base").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col("base").alias("__base"), F.col("part").alias("__part"), F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    joined = rows.join(counts, (F.col("base") == F.col("__base")) & (F.col("part") == F.col("__part")))
+    return joined.select(*rows.columns, (F.col("ahead") + F.row_number().over(Window.partitionBy("base", "part").orderBy("at")) - 1).alias("number"))
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, unit: Column | None = None) -> DataFrame:
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """How often the mix takes each row of ``docs`` (doc_id, text, source).
 
-    Returns unit (a number for each row), doc_id, size (words of the text; null has 0), source_size, target
-    (of its source) and copies.  A row of size 0 is taken ``rate`` times too, by the same draw.  Null is a source of its own.
-    ``unit`` must differ between rows and be the same in reruns; by default a hash of doc_id and text, so rows
-    equal in both share their fate.  Sources and their sizes (a row per source) go to the driver.
+    Returns base (a hash of these three), number (of the row among those equal in them), doc_id, source, size (words of the text; null has 0),
+    source_size, target (of its source) and copies.  A row of size 0 is taken at its source's rate too, by the same draw.
+    Null is a source of its own.  Repeated rows are drawn each.  Other columns are ignored; no rows give none.
+    Sources and their sizes (a row per source) go to the driver, which shares out the targets.
     """
     bound_batches(docs.sparkSession)
-    text = F.col("text").cast("string")
-    unit = F.xxhash64(F.col("doc_id"), text) if unit is None else unit
-    sized = docs.select(unit.alias("unit"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"))
-    sized = materialize(sized.mapInArrow(_counted, "unit long, doc_id long, source string, size long"), "sizes")
-    units = materialize(sized.groupBy("unit").agg(F.first("source").alias("source"), F.max("size").alias("size")), "units")
+    spark = docs.sparkSession
+    sized = docs.select(_base().alias("base"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    sized = materialize(sized.mapInArrow(_counted, "base long, doc_id long, source string, size long, part int, at long"), "sizes")
+    repeated = materialize(sized.groupBy("base").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("base", "times"), "repeated")
+    sized = sized.withColumn("number", F.lit(0).cast("long"))
+    if repeated.limit(1).count():
+        found = hot_lookup(sized, repeated, ["base"], "times", "at", ["times"])
+        sized = materialize(found.filter("times is null").drop("times").unionByName(_numbered(found.filter("times is not null").drop("times", "number"))), "sizes")
+    sized = sized.select("base", "number", "doc_id", "source", "size", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), F.when(F.col("number") > 0, F.xxhash64("base", "number")).otherwise(F.col("base")).alias("unit"))
     totals = {r["source"]: (r["n"], r["rows"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
     aim = targets({s: n for s, (n, _) in totals.items()}, weights, share, most)
-    spark = docs.sparkSession
-    plan = spark.createDataFrame([(s, n, float(aim.get(s, 0.0)), float(aim.get(s, 0.0) / n) if n else 0.0, rows) for s, (n, rows) in totals.items()], "source string, source_size long, target double, rate double, rows long")
-    same = F.col("source").eqNullSafe(F.col("s"))
-    rates = F.broadcast(plan.select(F.col("source").alias("s"), "rate"))  # a row per source
-    fresh = units.join(rates, same, "left").select("unit", "source", "size", (F.col("rate") - F.floor("rate")).alias("p"))
-    level = materialize(fresh.filter(f"p > {_EDGE} and p < {1 - _EDGE}"), "open")
+    plan = [("n" if s is None else f"s{s}", n, float(aim.get(s, 0.0)), float(aim.get(s, 0.0) / n) if n else 0.0, rows) for s, (n, rows) in totals.items()]
+    plan = spark.createDataFrame(plan, "skey string, source_size long, target double, rate double, rows long")
+    sized = hot_lookup(sized, plan, ["skey"], "rows", "unit", ["source_size", "target", "rate"])
+    level = materialize(sized.select("unit", "skey", "size", (F.col("rate") - F.floor("rate")).alias("p")).filter(f"p > {_EDGE} and p < {1 - _EDGE}"), "open")
     decided = []
     while True:
-        counts = level.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        counts = materialize(counts, "blocks")
+        counts = materialize(level.groupBy("skey").agg(F.count(F.lit(1)).alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")), "blocks")
         if not counts.limit(1).count():
             break
-        blocked = level.join(F.broadcast(counts.withColumnRenamed("source", "s")), same).select("unit", "source", "size", "p", F.pmod(F.xxhash64("unit"), F.col("blocks")).alias("block"), (F.col("blocks") == 1).alias("final"))
-        flown = materialize(blocked.groupBy("source", "block").applyInArrow(_flown, _UNIT), "flown")
+        blocked = hot_lookup(level, counts, ["skey"], "rows", "unit", ["blocks"]).select("unit", "skey", "size", "p", F.pmod(F.xxhash64("unit"), F.col("blocks")).alias("block"), (F.col("blocks") == 1).alias("final"))
+        flown = materialize(blocked.groupBy("skey", "block").applyInArrow(_flown, _UNIT), "flown")
         decided.append(flown.filter("p = 0 or p = 1").select("unit", F.col("p").cast("int").alias("drawn")))
         level = flown.filter("p > 0 and p < 1")
     drawn = decided[0] if decided else spark.createDataFrame([], "unit long, drawn int")
     for more in decided[1:]:
         drawn = drawn.union(more)
-    out = sized.join(drawn, "unit", "left").join(F.broadcast(plan.withColumnRenamed("source", "s")), same, "left")
-    whole = F.floor(F.col("rate") + _EDGE).cast("long")
-    extra = F.coalesce("drawn", F.lit(0))
-    return out.select("unit", "doc_id", "source", "size", "source_size", "target", (whole + extra).alias("copies"))
+    copies = F.floor(F.col("rate") + _EDGE).cast("long") + F.coalesce("drawn", F.lit(0))
+    return sized.join(drawn, "unit", "left").select("base", "number", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as its copies say, the others gone."""
-    unit = F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))
-    taken = mix_sources(docs, weights, share, most, unit).filter("copies > 0").groupBy("unit").agg(F.max("copies").cast("int").alias("__copies"))
-    keyed = docs.withColumn("__unit", unit).join(taken.withColumnRenamed("unit", "__taken"), F.col("__unit") == F.col("__taken"))
-    return keyed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """``docs`` as the mix takes them: each row as often as its copies say, all columns as they are, the others gone.
+
+    Rows equal in doc_id, text and source share their copies out as evenly as they go, in an order of all their columns.  Nulls as in
+    :func:`mix_sources`; no rows give none.
+    """
+    taken = materialize(mix_sources(docs, weights, share, most).groupBy("base").agg(F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__rows")), "taken")
+    keyed = docs.withColumn("__unit", _base())
+    once = keyed.join(taken.filter("__rows = 1 and __sum > 0").select(F.col("base").alias("__unit"), "__sum"), "__unit")
+    if taken.filter("__rows > 1").limit(1).count():
+        turn = F.row_number().over(Window.partitionBy("__unit").orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))) - 1
+        several = keyed.join(taken.filter("__rows > 1").withColumnRenamed("base", "__unit"), "__unit").withColumn("__turn", turn)
+        share_ = F.floor(F.col("__sum") / F.col("__rows")) + (F.col("__turn") < F.col("__sum") % F.col("__rows")).cast("int")
+        once = once.unionByName(several.withColumn("__sum", share_.cast("long")).filter("__sum > 0").select(*once.columns))
+    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__sum")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -261,6 +261,21 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_repeated_rows(spark):
+    """A thousand equal rows are drawn one by one, so their source still meets its target; one doc_id and text under two sources are two."""
+    rows = [(1, "w " * 20, "en", "a")] * 1000 + [(2, "v " * 30, "en", s) for s in "bc"] + [(i, "u " * (i % 40), "en", "bc"[i % 2]) for i in range(10, 400)]
+    docs = table(spark, rows).repartition(5)
+    out = mixing.mix_sources(docs)
+    sums = {r["source"]: r for r in out.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most")).collect()}
+    assert out.count() == len(rows) and all(abs(r["taken"] - r["target"]) <= 20 and r["most"] <= 2 for r in sums.values())
+    again = Counter(tuple(r) for r in mixing.mix_sources(docs.repartition(3)).collect())
+    assert Counter(tuple(r) for r in out.collect()) == again
+    copies = Counter()
+    for r in out.collect():
+        copies[r["doc_id"], r["source"]] += r["copies"]
+    assert Counter((r["doc_id"], r["source"]) for r in mixing.mixed(docs).collect()) == +copies
+
+
 def test_mixing_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 50)
     rng = random.Random(1)
@@ -335,6 +350,27 @@ def test_model_probabilities_sum_to_one():
         assert total == pytest.approx(1, abs=0.05)
 
 
+def test_pipeline_keeps_columns_and_documents(spark):
+    """Columns named as the operators' own, and two texts under one doc_id."""
+    import corpus_pipeline as c
+
+    rng = random.Random(9)
+    make = lambda abc: " ".join("".join(rng.choice(abc) for _ in range(5)) for _ in range(60))
+    rows = [(i, make("abcdefgh"), "l1", "s") for i in range(60)]
+    rows += [(7, make("abcdefgh"), "l1", "s"), (8, rows[8][1], "l1", "s"), (None, make("abcdefgh"), None, None), (100, None, "l1", "s"), (101, "", "l1", "s"), (102, " ".join(rows[5][1].split()[:55]) + " " + make("abcdefgh"), "l1", "s")]
+    own = ("lang_pred", "accepted", "cross_entropy", "component_id", "kept", "base", "copies", "node", "h1", "th")
+    docs = table(spark, rows).select("*", *[F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in own])
+    for name, stage in c.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns[-len(own) :] == list(own), name
+        got = docs.collect()
+        docs = spark.createDataFrame(got, docs.schema)
+        assert all(r[c] == f"{c}-{'-' if r['doc_id'] is None else r['doc_id']}" for r in got for c in own) and all(r["score"] == "x" for r in got), name
+        if name != "mix":
+            assert Counter(r["doc_id"] for r in got) == Counter([*range(60), 7, None, 102] + [8] * (name == "language")), name
+    assert c.STAGES[-1][1](spark, docs, "").count() == len(got)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
