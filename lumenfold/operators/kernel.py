@@ -14,22 +14,44 @@ from lumenfold.operators.template import Templates
 
 #: Products of points and template samples from which a transform beats the direct sum.
 TRANSFORM = 4_000_000
+#: Bytes of the templates' transforms that a curve keeps.
+KEPT = 128 << 20
+#: Up to so many points a curve's periods are worked on together, so many phases at a time.
+SHORT, PHASES = 600, 200_000
 #: Points of all templates laid out at once in the mid-transit fit: 8 MB.
 BLOCK = 1_000_000
 
 
-def sliding_product(x: np.ndarray, s: np.ndarray, memo: dict | None = None) -> np.ndarray:
-    """sum over j of x[i + j] * s[j] for each i where the template fits."""
+def fast_size(n: int) -> int:
+    """The least product of 2, 3 and 5 that is n at least."""
+    best = 1 << (n - 1).bit_length()
+    for five in (5**k for k in range(14)):
+        for three in (3**k for k in range(20)):
+            if five * three < best:
+                best = min(best, five * three << max(0, (-(-n // (five * three)) - 1).bit_length()))
+    return best
+
+
+def sliding_product(x: np.ndarray, s: np.ndarray, memo: dict | None = None, kept: dict | None = None, name=None) -> np.ndarray:
+    """sum over j of x[i + j] * s[j] for each i where the template fits.
+
+    ``memo`` keeps the transform of x for other templates, ``kept`` that of the template ``name`` for other curves, while there is room.
+    """
     n = len(x) - len(s) + 1
     if len(x) * len(s) < TRANSFORM:
         return np.correlate(x, s, mode="valid")
-    size = 1 << (len(x) + len(s) - 1).bit_length()
+    size = fast_size(len(x))  # places where the template fits do not go round the end
     fx = memo.get(size) if memo is not None else None
     if fx is None:
         fx = np.fft.rfft(x, size)
         if memo is not None:
             memo[size] = fx
-    return np.fft.irfft(fx * np.conj(np.fft.rfft(s, size)), size)[:n]
+    fs = kept.get((name, size)) if kept is not None else None
+    if fs is None:
+        fs = np.conj(np.fft.rfft(s, size))
+        if kept is not None and (len(kept) + 1) * fs.nbytes <= KEPT:
+            kept[name, size] = fs
+    return np.fft.irfft(fx * fs, size)[:n]
 
 
 def _sums(x: np.ndarray) -> np.ndarray:
@@ -41,11 +63,17 @@ def stride(width: int, margin: float) -> int:
     return max(1, int(width / (1 / margin))) if margin > 0 and width > margin else 1
 
 
-def eligible(widths: np.ndarray, period: float, points: int, span: float, p: P.SearchParams) -> np.ndarray:
-    """Widths that are physically plausible at ``period``."""
+def eligible_ends(period: float, points: int, span: float, p: P.SearchParams) -> tuple[int, int]:
+    """The least and the greatest width that is physically plausible at ``period``."""
     seen = span / period
     low = int(np.floor(t14(p.R_star_min, p.M_star_min, period, small=True) * points))
     high = int(np.ceil(t14(p.R_star_max, p.M_star_max, period) * points * (seen + 1) / seen))
+    return low, high
+
+
+def eligible(widths: np.ndarray, period: float, points: int, span: float, p: P.SearchParams) -> np.ndarray:
+    """Widths that are physically plausible at ``period``."""
+    low, high = eligible_ends(period, points, span, p)
     return widths[(widths >= low) & (widths <= high)]
 
 
@@ -79,8 +107,8 @@ def best_at(period: float, t: np.ndarray, y: np.ndarray, dy: np.ndarray, tm: Tem
         if len(ask):
             k = mean[ask] * tm.overshoot[row] / P.SIGNAL_DEPTH
             a = chi_sum[ask + len(s)] - chi_sum[ask]
-            b = sliding_product(weighted, s, memo_b)[ask] if len(ask) * 4 > size or len(d) * len(s) >= TRANSFORM else np.lib.stride_tricks.sliding_window_view(weighted, len(s))[ask] @ s
-            c = iv[0] * (s * s).sum() if flat else sliding_product(iv, s * s, memo_c)[ask]
+            b = sliding_product(weighted, s, memo_b, tm.kept, (row, 1))[ask] if len(ask) * 4 > size or len(d) * len(s) >= TRANSFORM else np.lib.stride_tricks.sliding_window_view(weighted, len(s))[ask] @ s
+            c = iv[0] * (s * s).sum() if flat else sliding_product(iv, s * s, memo_c, tm.kept, (row, 2))[ask]
             stat = a - 2 * k * b + k * k * c + total - (chi_sum[ask + w] - chi_sum[ask]) - edge
             i = int(stat.argmin())
             if stat[i] < found:
@@ -90,6 +118,71 @@ def best_at(period: float, t: np.ndarray, y: np.ndarray, dy: np.ndarray, tm: Tem
     return best, best_row, best_depth
 
 
+def best_of(periods: np.ndarray, t: np.ndarray, y: np.ndarray, dy: np.ndarray, tm: Templates, widths: np.ndarray, rows: np.ndarray, p: P.SearchParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`best_at` for all ``periods``; a short curve's are worked on together, a row of phases for each."""
+    if len(t) > SHORT:
+        out = [best_at(x, t, y, dy, tm, widths, rows, p) for x in periods]
+        chi2, row, depth = zip(*out, strict=True) if out else ((), (), ())
+        return np.array(chi2, float), np.array(row, np.int32), np.array(depth, float)
+    parts = [_best_together(periods[k : k + max(1, PHASES // len(t))], t, y, dy, tm, widths, rows, p) for k in range(0, len(periods), max(1, PHASES // len(t)))]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0), np.zeros(0, np.int32), np.zeros(0))
+
+
+def _grown(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros((len(x), 1)), np.cumsum(x, axis=1)], axis=1)
+
+
+def _products(x: np.ndarray, s: np.ndarray, n: int, step: int) -> np.ndarray:
+    """Sliding products of each row at every step-th of its first n places."""
+    out = np.zeros((len(x), -(-n // step)))
+    for j, v in enumerate(s):
+        out += v * x[:, j : j + n : step]
+    return out
+
+
+def _best_together(periods: np.ndarray, t: np.ndarray, y: np.ndarray, dy: np.ndarray, tm: Templates, widths: np.ndarray, rows: np.ndarray, p: P.SearchParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, m = len(t), tm.maxwidth
+    phase = t[None, :] / periods[:, None]
+    order = np.argsort(phase - np.floor(phase), axis=1, kind="stable")
+    d, iv = (1 - y)[order], (1 / dy**2)[order]
+    d, iv = (np.concatenate([x, x[:, :m]], axis=1) for x in (d, iv))
+    flat = bool((dy == dy[0]).all())
+    chi = d * d * iv
+    depth_sum, chi_sum, weighted = _grown(d), _grown(chi), d * iv
+    edge, total = chi_sum[:, n + min(m, n)] - chi_sum[:, n], chi_sum[:, -1]
+    span = t[-1] - t[0]
+    ends = [eligible_ends(x, n, span, p) for x in periods.tolist()]
+    low, high = np.array([e[0] for e in ends]), np.array([e[1] for e in ends])
+    best, best_row, best_depth = np.full(len(periods), np.inf), np.zeros(len(periods), np.int32), np.zeros(len(periods))
+    for w, row in zip(widths.tolist(), rows.tolist(), strict=True):
+        at = np.flatnonzero((low <= w) & (w <= high))
+        if not len(at):
+            continue
+        mine = (lambda x: x) if len(at) == len(periods) else (lambda x: x[at])  # noqa: B023
+        s = 1 - tm.signal[row]
+        size, step, over = d.shape[1] - w + 1, stride(w, p.T0_fit_margin), tm.overshoot[row]
+        sums, chis = mine(depth_sum), mine(chi_sum)
+        mean = ((sums[:, w:] - sums[:, :-w]) / w)[:, ::step]
+        k = mean * over / P.SIGNAL_DEPTH
+        begin = chis[:, :size:step]
+        a = chis[:, len(s) : len(s) + size : step] - begin
+        b = _products(mine(weighted), s, size, step)
+        c = iv[0, 0] * (s * s).sum() if flat else _products(mine(iv), s * s, size, step)
+        stat = a - 2 * k * b + k * k * c + mine(total)[:, None] - (chis[:, w : w + size : step] - begin) - mine(edge)[:, None]
+        stat[mean <= p.transit_depth_min] = np.inf
+        i = stat.argmin(axis=1)
+        line = np.arange(len(at))
+        least = stat[line, i]
+        fit = least < n
+        found = np.where(fit, least, float(n))
+        less = found < best[at]
+        where = at[less]
+        best[where] = found[less]
+        best_row[where] = np.where(fit, row, 0)[less]
+        best_depth[where] = np.where(fit, 1 - mean[line, i] * over, 0.0)[less]
+    return best, best_row, best_depth
+
+
 def best_t0(t: np.ndarray, y: np.ndarray, period: float, signal: np.ndarray, depth: float, margin: float) -> float:
     """The mid-transit time, of a grid over one period from min(t), at which the template of ``depth`` (1 - flux lost) fits best.
 

@@ -16,7 +16,7 @@ from lumenfold.functions import params as P
 from lumenfold.operators import kernel, lightcurve, stats, template
 from lumenfold.operators.grids import durations, settled
 from lumenfold.operators.lineage import cut
-from lumenfold.operators.spectrum import default_false_alarms, false_alarm, peaks, period_uncertainty, spectra
+from lumenfold.operators.spectrum import false_alarm, peaks, period_uncertainty, spectra
 
 SPECTRUM = "lc_id string, period double, chi2 double, row int, depth double"
 
@@ -39,10 +39,10 @@ class _Curve:
         self.widths, self.rows = np.unique(self.templates.width, return_index=True) if self.templates else (np.array([], int),) * 2
         self.p = p
 
-    def best_at(self, period: float) -> tuple[float, int, float]:
+    def best_of(self, periods: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.templates is None:
-            return float(len(self.t)), 0, 0.0
-        return kernel.best_at(period, self.t, self.y, self.dy, self.templates, self.widths, self.rows, self.p)
+            return np.full(len(periods), float(len(self.t))), np.zeros(len(periods), np.int32), np.zeros(len(periods))
+        return kernel.best_of(periods, self.t, self.y, self.dy, self.templates, self.widths, self.rows, self.p)
 
 
 def _search(raw, p: P.SearchParams, buckets: int):
@@ -55,8 +55,7 @@ def _search(raw, p: P.SearchParams, buckets: int):
                     last = name, _Curve(*(rows.column(j)[k].values.to_numpy(zero_copy_only=False) for j in (2, 3, 4)), raw, p)
                 c = last[1]
                 mine = c.periods[bucket::buckets]
-                out = [c.best_at(x) for x in mine]
-                chi2, row, depth = zip(*out, strict=True) if out else ((), (), ())
+                chi2, row, depth = c.best_of(mine)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(mine), pa.string()), pa.array(mine), pa.array(chi2, pa.float64()), pa.array(row, pa.int32()), pa.array(depth, pa.float64())], names=["lc_id", "period", "chi2", "row", "depth"])
 
     return run
@@ -100,6 +99,7 @@ def _fit_t0(raw, p: P.SearchParams):
 def search(lc: DataFrame, p: P.SearchParams | None = None, table: DataFrame | None = None, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(result, spectrum): one row per curve with period, T0, duration, depth, SDE, FAP and the transits' statistics; the spectrum behind it.
 
+    ``table`` (row, fap, sde; see :func:`lumenfold.operators.spectrum.false_alarm_table`) gives FAP, which is null without it.
     A curve where nothing was fit has null period and statistics, depth 1, SDE 0 and T0 0; so has one that validation leaves out,
     without a spectrum.
     """
@@ -113,13 +113,14 @@ def search(lc: DataFrame, p: P.SearchParams | None = None, table: DataFrame | No
     fitted = asked.mapInArrow(_fit_t0(template.raw_transit(p), p), _FIT)
     found = stats.durations(peak.filter("fit").select("lc_id", "period").join(fitted.select("lc_id", "T0", "duration"), "lc_id"), extent)
     found = cut(found)
-    law = C.radius_ratio(1 - F.col("depth_mean"), p.limb_dark, p.u) if p.limb_dark in P.RADIUS_LAWS else F.lit(None).cast("double")
-    total = cut(stats.summary(lc, found)).withColumn("rp_rs", law)
+    law = C.radius_ratio(1 - F.col("depth"), p.limb_dark, p.u) if p.limb_dark in P.RADIUS_LAWS else F.lit(None).cast("double")
+    total = cut(stats.summary(lc, found))
     per = cut(stats.snr_stats(lc, found)).groupBy("lc_id").agg(F.sort_array(F.collect_list(F.struct("n", "mid", "cnt", "mean_flux", "err", "snr", "snr_pink"))).alias("transits"))
     out = peak.join(found.select("lc_id", "T0", "duration", "duration_days"), "lc_id", "left").join(period_uncertainty(spectrum, peak), "lc_id", "left").join(total, "lc_id", "left").join(stats.count_stats(lc, found), "lc_id", "left").join(per, "lc_id", "left")
+    out = out.withColumn("rp_rs", F.when(F.col("fit"), law))
     out = given.join(out, "lc_id", "left").withColumn("fit", F.coalesce("fit", F.lit(False)))
     out = out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in (("T0", 0.0), ("depth", 1.0), ("SDE", 0.0), ("SDE_raw", 0.0))})
-    return false_alarm(out, table if table is not None else default_false_alarms(lc.sparkSession)), spectrum
+    return (false_alarm(out, table) if table is not None else out.withColumn("FAP", F.lit(None).cast("double"))), spectrum
 
 
 def search_many_planets(lc: DataFrame, p: P.SearchParams, rounds: int, widen: float = 2.0) -> DataFrame:

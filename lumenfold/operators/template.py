@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -127,6 +127,8 @@ class Templates:
     width: np.ndarray
     signal: list[np.ndarray]
     overshoot: np.ndarray
+    #: transforms of the signals, kept by the kernel
+    kept: dict = field(default_factory=dict, repr=False)
 
     @property
     def maxwidth(self) -> int:

@@ -294,17 +294,15 @@ def peak_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(spectrum.period_uncertainty(s, spectrum.peaks(s)))
 
 
-_KNOTS = [(1250, 5.651), *spectrum.FALSE_ALARMS, (1, 9.0)]
-
-
-@query(f"""WITH {S}, knots AS (SELECT * FROM (VALUES {', '.join(f'({i}, {k}, {s}::DOUBLE)' for i, (k, s) in enumerate(_KNOTS))}) v(i, k, s)),
-steps AS (SELECT j AS k, a.s + (b.s - a.s) * (a.k - j) / (a.k - b.k) AS sde FROM knots a JOIN knots b ON b.i = a.i + 1, LATERAL (SELECT unnest(range(b.k + 1, a.k + 1)) AS j) UNION ALL SELECT 1, 9.0),
-x AS (SELECT star_id, 4 + (star_id % 60) / 10.0 AS sde FROM stars)
-SELECT star_id, round(x.sde, 6) AS SDE, CASE WHEN x.sde < 5.651 THEN NULL ELSE round(coalesce(max(k), 1) / {spectrum.CURVES}.0, 9) END AS FAP FROM x LEFT JOIN steps ON steps.sde > x.sde GROUP BY star_id, x.sde""")
+@query("""WITH noise AS (SELECT DISTINCT round(5 + value / 50, 3) AS sde FROM events WHERE value >= 50), t AS (SELECT sde, row_number() OVER (ORDER BY sde) - 1 AS i, count(*) OVER () AS m FROM noise),
+x AS (SELECT CAST(s_suppkey AS BIGINT) AS star_id, 5.5 + (s_suppkey % 60) / 20.0 AS SDE FROM supplier),
+f AS (SELECT x.star_id, x.SDE, min(i) AS i FROM x LEFT JOIN t ON t.sde > x.SDE GROUP BY 1, 2), m AS (SELECT count(*) AS m FROM noise)
+SELECT star_id, round(SDE, 6) AS SDE, round(CASE WHEN i = 0 THEN NULL ELSE greatest(1, m - coalesce(i, m)) / 12495.0 END, 9) AS FAP FROM f, m""")
 def fap_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """False-alarm probabilities by a strict as-of lookup."""
-    v = A.stars(spark, sf_dir).select("star_id", (4 + (F.col("star_id") % 60) / 10.0).alias("SDE"))
-    return spectrum.false_alarm(v, spectrum.default_false_alarms(spark)).select("star_id", F.round("SDE", 6).alias("SDE"), F.round("FAP", 9).alias("FAP"))
+    """False-alarm probabilities by a strict as-of lookup in a table of noise searches (here made of the events' values)."""
+    noise = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value >= 50").select(F.round(5 + F.col("value") / 50, 3).alias("sde")).distinct()
+    v = A.stars(spark, sf_dir).select("star_id", (5.5 + (F.col("star_id") % 60) / 20.0).alias("SDE"))
+    return spectrum.false_alarm(v, spectrum.false_alarm_table(noise, 12495)).select("star_id", F.round("SDE", 6).alias("SDE"), F.round("FAP", 9).alias("FAP"))
 
 
 # ---------------------------------------------------------------- statistics

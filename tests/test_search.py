@@ -60,11 +60,29 @@ def test_kernel_against_loops(raw, seed, n, varied):
         assert fast[0] == pytest.approx(slow[0], rel=1e-9) and fast[1] == slow[1] and fast[2] == pytest.approx(slow[2])
 
 
+@pytest.mark.parametrize("varied", [False, True])
+@pytest.mark.parametrize("margin", [0.01, 0.1])
+def test_periods_together_and_one_by_one(raw, varied, margin):
+    rng = np.random.default_rng(9)
+    t = np.sort(rng.uniform(1, 31, 400))
+    y = 1 + rng.normal(0, 1e-3, 400) - 0.01 * (np.abs((t - 2) % 3 - 0.1) < 0.12)
+    dy = rng.uniform(0.5e-3, 2e-3, 400) if varied else np.full(400, y.std())
+    p = SearchParams(T0_fit_margin=margin).validated()
+    c = search._Curve(t, y, dy, raw, p)
+    periods = c.periods[::40]
+    chi2, row, depth = c.best_of(periods)
+    one = [kernel.best_at(x, c.t, c.y, c.dy, c.templates, c.widths, c.rows, p) for x in periods]
+    assert np.allclose(chi2, [o[0] for o in one], rtol=1e-9) and np.allclose(depth, [o[2] for o in one]) and row.tolist() == [o[1] for o in one]
+
+
 def test_sliding_product_by_transform(monkeypatch):
     x, s = np.random.default_rng(0).normal(size=500), np.random.default_rng(1).normal(size=40)
     direct = kernel.sliding_product(x, s)
     monkeypatch.setattr(kernel, "TRANSFORM", 1)
-    assert np.allclose(kernel.sliding_product(x, s, {}), direct)
+    kept = {}
+    for _ in range(2):
+        assert np.allclose(kernel.sliding_product(x, s, {}, kept, "s"), direct)
+    assert len(kept) == 1 and kernel.fast_size(112_001) == 112_500 and kernel.fast_size(1) == 1
 
 
 def test_t0_against_sorting(raw):
@@ -105,6 +123,41 @@ def test_whole_search_of_a_year(spark):
     assert r["period"] == pytest.approx(WANTED, abs=1e-5) and r["T0"] == pytest.approx(68.00349264912924, abs=1e-5)
     assert r["chi2_min"] == pytest.approx(8831.654060613922, rel=1e-4) and r["chi2red_min"] == pytest.approx(0.6719152511118321, rel=1e-4)
     assert r["period_uncertainty"] == pytest.approx(0.216212529678387, rel=1e-3)
+    # the planet's own ratio
+    assert r["rp_rs"] == pytest.approx(6371 / 696342, abs=1e-4)
+
+
+def searched(spark, name, t, y, dy, p):
+    rows = [(name, i, float(a), float(b), None if dy is None else float(dy[i])) for i, (a, b) in enumerate(zip(t, y, strict=True))]
+    return search.search(spark.createDataFrame(rows, "lc_id string, idx long, t double, y double, dy double"), p)[0].first()
+
+
+def test_whole_search_with_a_gap(spark):
+    """The first of three dips is missing."""
+    t, y = synthetic()
+    y[1] = np.nan
+    y[200:500] = t[200:500] = np.nan
+    r = searched(spark, "gap", t, y, None, SearchParams.of(period_min=360, period_max=370, transit_depth_min=10e-6, oversampling_factor=2, duration_grid_step=1.1, T0_fit_margin=1.2))
+    near = lambda name, value, by: r[name] == pytest.approx(value, abs=by)
+    assert near("period", 365.22218620040417, 1.5e-5) and near("period_uncertainty", 0.3153203546531813, 1.5e-5) and near("depth", 0.9998972750356973, 1.5e-5) and near("duration_days", 0.41845319797978703, 1.5e-5)
+    assert near("SDE", 4.243572802600693, 1.5e-3) and near("odd_even_mismatch", 0.15059221218811772, 1.5e-3) and near("rp_rs", 0.009114758081257387, 1.5e-3) and near("snr", 52.050323372452034, 1.5e-3)
+    assert r["rp_rs"] == pytest.approx(((1 - r["depth"]) * (1 - 0.4804 / 3 - 0.1867 / 6)) ** 0.5, rel=1e-3)
+    assert near("depth_mean", 0.999917, 1.5e-5) and near("depth_mean_even", 0.999915, 1.5e-5) and near("depth_mean_odd", 0.99992, 1.5e-5) and near("depth_mean_odd_std", 1.209993e-05, 1.5e-5)
+    assert (r["transit_count"], r["distinct_transit_count"], r["empty_transit_count"]) == (3, 2, 1)
+    per = r["transits"]
+    assert [x["cnt"] for x in per] == [0, 5, 5] and np.allclose([x["mid"] for x in per], [68.08637, 433.30855, 798.53074], atol=1.5e-5)
+    assert np.allclose([x["snr"] for x in per], [0, 37.052, 36.558], atol=1.5e-3) and np.allclose([x["snr_pink"] for x in per], [0, 45.477, 44.871], atol=1.5e-3)
+    assert per[0]["mean_flux"] is None and np.allclose([x["mean_flux"] for x in per[1:]], [0.99991, 0.9999], atol=2e-5) and np.allclose([x["err"] for x in per[1:]], [2.92371e-06, 4.48803e-06], atol=1e-5)
+
+
+def test_whole_search_with_errors(spark):
+    """Noise ten times as large in the last quarter, and errors that say so."""
+    t, y = synthetic()
+    y[10000:] += np.random.normal(0, 50e-6, 3149)
+    dy = np.full(len(y), 5e-6)
+    dy[10000:] *= 10
+    r = searched(spark, "dy", t, y, dy, SearchParams.of(period_min=360, period_max=370, oversampling_factor=3, duration_grid_step=1.05, T0_fit_margin=0.2))
+    assert r["SDE"] == pytest.approx(5.292594615900944, abs=1.5e-5)
 
 
 def test_curve_where_nothing_fits(spark):

@@ -66,10 +66,26 @@ def test_resample(spark):
 
 
 def test_false_alarms(spark):
-    values = spark.createDataFrame([(2.0,), (7.0,), (99.0,)], "SDE double")
-    got = {r["SDE"]: r["FAP"] for r in spectrum.false_alarm(values, spectrum.default_false_alarms(spark)).collect()}
-    # the coarse table is within two curves of the published steps
-    assert got[2.0] is None and got[7.0] == pytest.approx(0.009443778, abs=2e-3) and got[99.0] == pytest.approx(8.0032e-05, rel=1e-4)
+    """1251 efficiencies of 12495 searches in noise, 118 above 7: the published probabilities at 2, 7 and 99."""
+    noise = [6.0 + k / 1133 * 0.999 for k in range(1133)] + [7.001 + k / 100 for k in range(118)]
+    table = spectrum.false_alarm_table(spark.createDataFrame([(x,) for x in noise] + [(None,)], "sde double"), 12495)
+    values = spark.createDataFrame([(2.0,), (7.0,), (99.0,), (noise[1],)], "SDE double")
+    got = {r["SDE"]: r["FAP"] for r in spectrum.false_alarm(values, table).collect()}
+    assert got[2.0] is None and got[7.0] == pytest.approx(0.009443778, abs=1e-9) and got[99.0] == pytest.approx(8.0032e-05, abs=1e-9) and got[noise[1]] == pytest.approx(1249 / 12495)
+    assert spectrum.false_alarm_table(table.limit(0), 12495).count() == 0
+
+
+def test_running_spectrum_against_loops():
+    rng = np.random.default_rng(3)
+    chi2 = 1000 - 100 * rng.random(400)
+    red, sr, raw, power, sde_raw, sde = spectrum.spectrum_of(chi2, 1000, 3)
+    want = chi2.min() / chi2
+    top = (1 - want.mean()) / want.std()
+    p0 = (want - want.mean()) * top / (1 - want.mean())
+    med = [np.median(p0[min(max(i, 45), 354) - 45 : min(max(i, 45), 354) + 46]) for i in range(400)]
+    p = p0 - med - (p0 - med).mean()
+    assert sde_raw == pytest.approx(top) and np.allclose(raw, p0) and sde == pytest.approx(p.max() / p.std()) and np.allclose(power, p * sde / p.max()) and np.allclose(red, chi2 / 996)
+    assert spectrum.spectrum_of(np.full(5, 9.0), 9, 3)[5] == 0.0
 
 
 def test_false_alarm_table_from_a_file(spark, tmp_path):
