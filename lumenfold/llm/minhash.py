@@ -111,9 +111,10 @@ def _keyed(batches):
             continue
         ids = batch.column(0).to_numpy()
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(len(ids), SYMBOLS).astype(np.uint64)
+        ties = [np.zeros((0, 2), np.int64)]
         for c in range(CHUNKS):
             part = mix(sig[:, c * CHUNK_SYMBOLS : (c + 1) * CHUNK_SYMBOLS] + _U(1))
-            keys, docs, vias, ties = [], [], [], []
+            keys, docs = [], []
             for m, mask in enumerate(_MASKS):
                 key = mix((part[:, mask] * _KEY[c, m, : len(mask)]).sum(1) + _U(c * 1000 + m))
                 order = np.lexsort((ids, key))
@@ -126,12 +127,15 @@ def _keyed(batches):
                 hub, known = frequent.find(k[heads], d[heads])
                 frequent.learn(k[heads][many & ~known], d[heads][many & ~known])
                 tied = (many | known)[group] & (d != hub[group])
-                vias.append(hub[group])
-                ties.append(tied)
-                # a tied row meets nobody under its key any more: it travels under one of its own
-                keys.append(np.where(tied, mix(d.view(np.uint64) + _U(c * 1000 + m)), k))
-                docs.append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(vias), mask=~np.concatenate(ties))], names=["key", "doc", "via"])
+                # a tied row meets nobody under its key any more
+                ties.append(np.stack([d[tied], hub[group][tied]], axis=1))
+                keys.append(k[~tied])
+                docs.append(d[~tied])
+            keys, docs = np.concatenate(keys), np.concatenate(docs)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(docs), pa.nulls(len(keys), pa.int64())], names=["key", "doc", "via"])
+        # each tie once, under a key of its own, however many keys make it
+        tie = np.unique(np.concatenate(ties), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(mix(tie[:, 0].view(np.uint64)).view(np.int64)), pa.array(tie[:, 0]), pa.array(tie[:, 1])], names=["key", "doc", "via"])
 
 
 def _sets(width: int):
