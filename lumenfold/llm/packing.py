@@ -30,6 +30,8 @@ from lumenfold.llm._tokens import encoder
 RANGE_ROWS = 200_000
 #: The superstep of all pieces up to capacity / LAST.
 LAST = 8
+#: Pieces of later ranges that one gap takes in a round at most.
+SLOTS = 8
 #: What a sweep gives: a place, a piece left, a gap left that later ranges may use, its further slots, a gap left for the next round.
 PLACED, PIECE, GAP, SLOT, LATER = 0, 1, 2, 3, 4
 _SWEPT = "part int, kind int, rank long, id long, size int, sequence_id long, offset int"
@@ -92,7 +94,7 @@ def sweep(size: np.ndarray, ident: np.ndarray, gap: np.ndarray, capacity: int) -
     return placed, left, [(s, room) for room in reversed(rooms) for s in free[room]]
 
 
-def _swept(capacity: int):
+def _swept(capacity: int, last: int):
     def run(table: pa.Table) -> pa.Table:
         size, ident, gap = (table.column(c).to_numpy() for c in ("size", "id", "gap"))
         part, low = table.column("part")[0].as_py(), int(size.min())
@@ -101,8 +103,8 @@ def _swept(capacity: int):
         out += [(part, PIECE, k + 1, i, n, None, None) for k, (i, n) in enumerate(left)]
         rank = 0
         for s, room in rooms:
-            # the pieces of later ranges have ``low`` tokens at most: so many find room
-            slots = room // low
+            # the pieces of later ranges have ``low`` tokens at most: so many find room, and more of them next round
+            slots = min(SLOTS, room // low) if part < last else 0
             out.append((part, GAP if slots else LATER, rank + 1, s, room, None, None))
             out += [(part, SLOT, rank + k, s, room, None, None) for k in range(2, slots + 1)]
             rank += slots
@@ -130,9 +132,11 @@ def _matched(todo: DataFrame, gaps: DataFrame, capacity: int) -> tuple[DataFrame
     """One round: (places, pieces left with their rank from 0, gaps, number of pieces left, whether to ask again)."""
     rows = todo.select(F.col("unit").alias("id"), F.col("length").cast("int").alias("size"), F.lit(False).alias("gap")).unionByName(gaps.select(F.col("sequence_id").alias("id"), F.col("room").cast("int").alias("size"), F.lit(True).alias("gap")))
     sizes = {r["size"]: r["n"] for r in rows.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    dealt = todo.sparkSession.createDataFrame(_ranges(sizes), "size int, first int, parts int")
+    ranges = _ranges(sizes)
+    last = ranges[-1][1] + ranges[-1][2] - 1
+    dealt = todo.sparkSession.createDataFrame(ranges, "size int, first int, parts int")
     ranged = rows.join(F.broadcast(dealt), "size").select("size", "id", "gap", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("part"))
-    swept = materialize(ranged.groupBy("part").applyInArrow(_swept(capacity), _SWEPT), "swept")
+    swept = materialize(ranged.groupBy("part").applyInArrow(_swept(capacity, last), _SWEPT), "swept")
     counts = {(r["part"], r["kind"]): r["n"] for r in swept.groupBy("part", "kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # a few rows a range
     placed = swept.filter(F.col("kind") == PLACED).select(F.col("id").alias("unit"), "sequence_id", "offset")
     gaps = swept.filter(F.col("kind").isin(GAP, LATER)).select(F.col("id").alias("sequence_id"), F.col("size").alias("room"))
