@@ -14,6 +14,7 @@ from lumenfold.functions import columns as C
 from lumenfold.functions import params as P
 from lumenfold.operators import boxsearch, catalog, grids, lightcurve, model, search, spectrum, stats, template, windows
 from lumenfold.plans import adapters as A
+from lumenfold.sources import files
 
 _queries: dict = {}
 _oracles: dict[str, str] = {}
@@ -323,6 +324,15 @@ def count_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.count_stats(*_found(spark, sf_dir))
 
 
+_COUNTS = ("in_transit_count", "before_transit_count", "after_transit_count")
+
+
+@query("SELECT lc_id, unnest([" + ", ".join(f"'{c}'" for c in _COUNTS) + "]) AS key, unnest([" + ", ".join(f"CAST({c} AS VARCHAR)" for c in _COUNTS) + f"]) AS value FROM ({_oracles['count_stats']})")
+def statistics_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows as one line a key."""
+    return files.statistics(count_stats(spark, sf_dir))
+
+
 _IN = "p AS (SELECT m.lc_id, m.n, m.mid, lc.y FROM mids m JOIN found f ON f.lc_id = m.lc_id JOIN lc ON lc.lc_id = m.lc_id AND t > mid - f.duration_days / 2 AND t < mid + f.duration_days / 2)"
 
 

@@ -86,3 +86,15 @@ def test_registered_searches_have_no_window(spark, sf, monkeypatch):
         with pytest.raises(ZeroDivisionError):
             QUERIES[name](spark, sf)
     assert seen == [(0.0, float("inf"))] * 4
+
+
+def test_model_curve_dips_at_the_mid_transit_times(spark, sf):
+    rows = QUERIES["model_curve"](spark, sf).orderBy("i").collect()
+    t, y = np.array([r["t"] for r in rows]), np.array([r["flux"] for r in rows])
+    lo, hi = adapters.planted(spark, sf).agg(F.min("t"), F.max("t")).first()
+    assert lo < t[0] and t[-1] <= hi and hi - t[-1] < 0.01 and (np.diff(t) > -1e-9).all()  # copies share their ends
+    assert y.max() == 1 and y.min() == pytest.approx(0.99, abs=1e-4)
+    away = np.abs((t - registry.T0 + registry.PERIOD / 2) % registry.PERIOD - registry.PERIOD / 2)
+    # the dips lie around the mid-transit times, and nowhere else
+    assert y[away < 0.001 * registry.PERIOD].max() < 0.9905 and away[y < 1].max() < registry.PERIOD * registry.SHARE
+    assert y[away > registry.PERIOD * registry.SHARE].min() == 1

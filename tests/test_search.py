@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lumenfold.functions.params import SearchParams
-from lumenfold.operators import kernel, lightcurve, search, template
+from lumenfold.operators import kernel, lightcurve, model, search, template
 from lumenfold.plans import registry
 
 WANTED = 365.2582192473641
@@ -103,6 +103,17 @@ def test_t0_against_sorting(raw):
     assert kernel.best_t0(t, y, period, signal, depth, 0) == pytest.approx(best[1])
 
 
+@pytest.mark.parametrize(("n", "duration", "maxwidth", "fill", "stretch", "depth"), [(1000, 0.02, 40, 1.0, 1.0, 0.99), (777, 0.05, 30, 0.6, 1.0, 0.999), (2000, 0.01, 50, 0.9, 3.0, 0.98)])
+def test_folded_model(raw, n, duration, maxwidth, fill, stretch, depth):
+    phase, flux = model.folded_model(n, duration, maxwidth, fill, stretch, depth, raw)
+    assert len(phase) == len(flux) == n and phase[0] == pytest.approx(0.5 / n) and phase[-1] == pytest.approx(1 + 0.5 / n)
+    assert flux.max() == 1 and flux.min() == pytest.approx(depth, abs=1e-4)
+    dip = np.flatnonzero(flux < 1)
+    assert (np.diff(dip) == 1).all() and abs((dip[0] + dip[-1]) / 2 - n / 2) <= 2
+    # as wide as the duration times the stretch and half of what the fill leaves
+    assert len(dip) == pytest.approx(min(1.0, duration * stretch * (1 + fill) / 2) * n, abs=0.1 * n * duration * stretch + 3)
+
+
 def test_disc_against_analytic_limits():
     z = np.array([0.0, 0.3, 0.85, 1.2])
     assert np.allclose(template.dimmed(z, 0.1, "uniform", ())[:3], 1 - 0.01, atol=1e-9) and template.dimmed(z, 0.1, "uniform", ())[3] == 1
