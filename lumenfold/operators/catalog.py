@@ -12,14 +12,14 @@ CATALOGS = {"KIC_ID": None, "EPIC_ID": (201000001, 251813738), "TIC_ID": None}
 def nearest_darkening(stars: DataFrame, table: DataFrame) -> DataFrame:
     """``stars`` (star_id, teff, logg, ..) with a, b of the table row (ld_row, teff, logg, a, b) nearest in temperature, then in gravity.
 
-    Ties go to the row that comes first.  The table is a small dimension; each distinct temperature of it is compared once.
+    Ties go to the row that comes first.  Each distinct temperature of the table is compared once with a star; the table itself is broadcast only where Spark finds it small.
     """
     t = table.select("ld_row", F.col("teff").cast("double").alias("__teff"), F.col("logg").cast("double").alias("__logg"), "a", "b")
     temps = t.groupBy("__teff").agg(F.min("ld_row").alias("__first")).agg(F.collect_list(F.struct("__teff", "__first")).alias("__temps"))
     rank = F.transform("__temps", lambda x: F.struct(F.abs(x["__teff"] - F.col("teff")).alias("d"), x["__first"].alias("r"), x["__teff"].alias("v")))
     near = stars.crossJoin(F.broadcast(temps)).withColumn("__at", F.array_min(rank)["v"]).drop("__temps")
     by = Window.partitionBy("star_id").orderBy(F.abs(F.col("__logg") - F.col("logg")), "ld_row")
-    met = near.join(F.broadcast(t), F.col("__at") == F.col("__teff")).withColumn("__k", F.row_number().over(by)).filter("__k = 1")
+    met = near.join(t, F.col("__at") == F.col("__teff")).withColumn("__k", F.row_number().over(by)).filter("__k = 1")
     return met.select(*stars.columns, "a", "b")
 
 

@@ -108,3 +108,13 @@ def phase_grid(facts: DataFrame) -> DataFrame:
     """lc_id, i, phase: n phases over one period, shifted by half a step."""
     rows = facts.select("lc_id", "n", F.explode(F.expr("sequence(0L, n - 1)")).alias("i"))
     return rows.select("lc_id", "i", (F.lit(0.5) / F.col("n") + F.col("i") / F.greatest(F.col("n") - 1, F.lit(1))).alias("phase"))
+
+
+def width_ends(rows: DataFrame, p: P.SearchParams) -> DataFrame:
+    """``rows`` (n points, span, period) with low and high, the least and the greatest physically plausible width in points."""
+    from lumenfold.functions import columns as C
+
+    seen = F.col("span") / F.col("period")
+    low = F.floor(C.t14(p.R_star_min, p.M_star_min, F.col("period"), small=True) * F.col("n"))
+    high = F.ceil(C.t14(p.R_star_max, p.M_star_max, F.col("period")) * F.col("n") * (seen + 1) / seen)
+    return rows.withColumn("low", low.cast("int")).withColumn("high", high.cast("int"))

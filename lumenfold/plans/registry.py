@@ -122,9 +122,12 @@ def period_grid_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(grids.period_grid(spark, 5, 1, 20, 0, 999))
 
 
+def _dip_sql(r: float, m: float, period: str, planet: float) -> str:
+    return f"least(0.12, ({r} * {P.R_SUN} + {planet}) * pow(4 * ({period} * 86400) / (pi() * {P.G} * {m} * {P.M_SUN}), 1.0 / 3) / ({period} * 86400))"
+
+
 def _duration_sql(step: float) -> str:
-    ends = lambda r, m, p, jup: f"least(0.12, ({r} * {P.R_SUN} + {jup}) * pow(4 * ({p} * 86400) / (pi() * {P.G} * {m} * {P.M_SUN}), 1.0 / 3) / ({p} * 86400))"
-    low, high = ends(P.R_STAR_MIN, P.M_STAR_MIN, "max(period)", 0.0), ends(P.R_STAR_MAX, P.M_STAR_MAX, "min(period)", 2 * P.R_JUP)
+    low, high = _dip_sql(P.R_STAR_MIN, P.M_STAR_MIN, "max(period)", 0.0), _dip_sql(P.R_STAR_MAX, P.M_STAR_MAX, "min(period)", 2 * P.R_JUP)
     return f"""WITH {_grid_sql(20)}, e AS (SELECT {low} AS low, {high} AS high FROM grid), l AS (SELECT *, CAST(ceil(ln(high / low) / ln({step}) - 1e-12) AS INTEGER) AS last FROM e)
 SELECT CAST(i AS INTEGER) AS row, round(CASE WHEN i = last THEN high ELSE low * pow({step}, i) END, 6) AS duration FROM l, LATERAL (SELECT unnest(range(0, l.last + 1)) AS i)"""
 
@@ -135,6 +138,15 @@ def duration_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(grids.duration_grid(grids.period_grid(spark, 1, 1, 20), 1.05))
 
 
+@query(f"""WITH {E}, f AS (SELECT lc_id, count(*) AS n, max(t) - min(t) AS span FROM lc GROUP BY lc_id HAVING max(t) > min(t)), x AS (SELECT lc_id, n, span, span / 2 / (1 + i) AS period FROM f, range(0, 20) r(i))
+SELECT lc_id, n, round(period, 6) AS period, CAST(floor({_dip_sql(P.R_STAR_MIN, P.M_STAR_MIN, "period", 0.0)} * n) AS INTEGER) AS low, CAST(ceil({_dip_sql(P.R_STAR_MAX, P.M_STAR_MAX, "period", 2 * P.R_JUP)} * n * (span / period + 1) / (span / period)) AS INTEGER) AS high FROM x""")
+def width_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: the plausible widths in points at twenty periods of each curve, half its span and its fractions."""
+    facts = A.events(spark, sf_dir).groupBy("lc_id").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span")).filter("span > 0")
+    rows = facts.select("*", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("i")).withColumn("period", F.col("span") / 2 / F.col("i"))
+    return _r(grids.width_ends(rows, P.SearchParams().validated()).select("lc_id", "n", "period", "low", "high"))
+
+
 @query(f"WITH {E}, f AS (SELECT lc_id, count(*) AS n, min(t) AS lo FROM lc GROUP BY lc_id), p AS (SELECT *, least(n, CAST(floor(n / 0.4) AS BIGINT)) AS m FROM f) SELECT lc_id, i, round(lo + i * {PERIOD} / greatest(m - 1, 1), 6) AS t0 FROM p, LATERAL (SELECT unnest(range(0, p.m)) AS i)")
 def t0_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trial mid-transit times."""
@@ -382,15 +394,28 @@ def folded_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- catalogs, searches
 
 
-@query(f"""WITH {S}, ld AS (SELECT i AS ld_row, 2300.0 + floor(i / 10) * 250 AS teff, 0.5 * (i % 10) AS logg FROM range(0, 320) t(i) WHERE i % 7 <> 3),
+_LD_SQL = f"""WITH {S}, ld AS (SELECT i AS ld_row, 2300.0 + floor(i / 10) * 250 AS teff, 0.5 * (i % 10) AS logg FROM range(0, 320) t(i) WHERE i % 7 <> 3),
 a AS (SELECT star_id, s.logg, ld.teff, row_number() OVER (PARTITION BY star_id ORDER BY abs(ld.teff - s.teff), ld_row) AS k FROM stars s, ld),
 b AS (SELECT star_id, ld.teff, ld.logg, row_number() OVER (PARTITION BY star_id ORDER BY abs(ld.logg - a.logg), ld_row) AS k2 FROM a JOIN ld ON a.k = 1 AND ld.teff = a.teff)
-SELECT star_id, round(0.9 - teff / 20000, 6) AS a, round(0.1 + logg / 20, 6) AS b FROM b WHERE k2 = 1""")
+SELECT star_id, round(0.9 - teff / 20000, 6) AS a, round(0.1 + logg / 20, 6) AS b FROM b WHERE k2 = 1"""
+
+
+@query(_LD_SQL)
 def ld_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1: limb-darkening coefficients of the nearest tabulated star."""
     return _r(catalog.nearest_darkening(A.stars(spark, sf_dir), A.darkening(spark)).select("star_id", "a", "b"))
 
 
+_STAR = 7
+
+
+@query(f"WITH {S}, ld AS ({_LD_SQL}) SELECT star_id, a, b, " + ", ".join(f"round({c} {d}, 6) AS {c}{e}" for c in ("mass", "radius") for d, e in (("", ""), ("- 0.05", "_min"), ("+ 0.05", "_max"))) + f" FROM stars JOIN ld USING (star_id) WHERE star_id = {_STAR}")
+def catalog_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One star of a catalog that is given, with its limits and limb darkening."""
+    known = A.stars(spark, sf_dir).select("*", *[(F.col(c) + d).alias(f"{c}{e}") for c in ("mass", "radius") for d, e in ((-0.05, "_min"), (0.05, "_max"))])
+    return _r(catalog.catalog_info(known, A.darkening(spark), TIC_ID=_STAR))
+
+
 _WIDTHS = (5, 9, 14)
 _BOX_PERIODS = "periods AS (SELECT i AS k, 3.2::DOUBLE + 0.02 * i AS period FROM range(0, 50) t(i))"
 _BOX_N = 400

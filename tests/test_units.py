@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import columns as C
+from lumenfold.functions import params as P
 from lumenfold.functions.params import SearchParams, inclination
-from lumenfold.operators import grids, lightcurve, spectrum, stats, windows
+from lumenfold.operators import grids, kernel, lightcurve, spectrum, stats, windows
+from lumenfold.plans import adapters
 
 
 def curve(spark, t, y, dy=None):
@@ -145,3 +147,19 @@ def test_pink_noise_of_one_point_is_zero(spark):
     found = spark.createDataFrame([("x", 3.0, 1.5, 0.05)], "lc_id string, period double, T0 double, duration double")
     rows = stats.snr_stats(lc, stats.durations(found, stats.extents(lc))).collect()
     assert max(r["cnt"] for r in rows) == 1 and {r["snr_pink"] for r in rows} == {0.0}
+
+
+def test_width_ends_are_the_kernels(spark):
+    p = P.SearchParams().validated()
+    periods = [0.6, 1.0, 3.7, 12.5, 200.0]
+    rows = spark.createDataFrame([(4000, 31.0 + x, x) for x in periods], "n long, span double, period double")
+    got = {r["period"]: (r["low"], r["high"]) for r in grids.width_ends(rows, p).collect()}
+    assert got == {x: kernel.eligible_ends(x, 4000, 31.0 + x, p) for x in periods}
+
+
+def test_points_are_numbered_across_minutes(spark):
+    t = [5.0, 1.0, 1.0, 1.0000001, 3.5, 2.0, 5.0]
+    rows = spark.createDataFrame(list(zip(t, [9, 4, 2, 1, 0, 7, 3], strict=True)), "t double, event_id long").repartition(3)
+    got = [(r["t"], r["event_id"]) for r in adapters._numbered(rows).orderBy("__row").collect()]
+    assert got == sorted(zip(t, [9, 4, 2, 1, 0, 7, 3], strict=True))
+    assert [r[0] for r in adapters._numbered(rows).select("__row").orderBy("__row").collect()] == list(range(7))
