@@ -15,7 +15,7 @@ def box_search(lc: DataFrame, periods: DataFrame, widths: tuple[int, ...], depth
     """
     most = max(widths)
     curve = ["lc_id", "k"]
-    folded = lc.join(F.broadcast(periods), F.lit(True)).select("lc_id", "k", "period", "idx", (1 - F.col("y")).alias("d"), F.pow("dy", F.lit(-2.0)).alias("iv"), C.fold(F.col("t"), F.col("period")).alias("phase"))
+    folded = lc.crossJoin(periods).select("lc_id", "k", "period", "idx", (1 - F.col("y")).alias("d"), F.pow("dy", F.lit(-2.0)).alias("iv"), C.fold(F.col("t"), F.col("period")).alias("phase"))
     ranked = folded.withColumn("i", F.row_number().over(Window.partitionBy(*curve).orderBy("phase", "idx")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*curve)))
     twice = ranked.withColumn("lap", F.explode(F.when(F.col("i") < most, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     p = twice.select("lc_id", "k", "period", "n", (F.col("i") + F.col("lap") * F.col("n")).alias("i"), "d", "iv")
