@@ -280,6 +280,41 @@ def test_top_k_beyond_doubles(spark):
     assert sorted(tuple(r) for r in top_k(vectors(spark, rows, "double")).collect()) == sorted(want)
 
 
+def test_top_k_broadcasts_nothing(spark, monkeypatch):
+    """Many groups and query blocks, small on disk: the pairs of blocks must neither be broadcast nor written."""
+    import lumenfold.llm.topk as t
+
+    for name, value in (("GROUP_ROWS", 16), ("QUERY_ROWS", 4), ("PART_BLOCKS", 2), ("PARTS", 4)):
+        monkeypatch.setattr(t, name, value)
+    rng = np.random.default_rng(4)
+    whole = rng.integers(-9, 9, size=(1200, 6))
+    out = top_k(vectors(spark, [(i, [float(v) / 256 for v in e], 0) for i, e in enumerate(whole)]))
+    want = []
+    for q in range(0, 1200, 50):
+        score = whole @ whole[q]
+        want += [(q, k + 1, i, int(score[i])) for k, i in enumerate(sorted((i for i in range(1200) if i != q), key=lambda i: (-score[i], i))[:5])]
+    assert sorted(tuple(r) for r in out.collect()) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan and "CartesianProduct" in plan
+
+
+@pytest.mark.parametrize("wide", [1, 1e4, 1e7])
+def test_top_k_bounds_with_floors(wide):
+    """Whatever type the bounds are in, with floors of other groups or not, the best candidates stand."""
+    from lumenfold.llm.topk import nra
+
+    rng = np.random.default_rng(5)
+    x, q = np.floor(rng.normal(size=(700, 8)) * wide * 20), np.floor(rng.normal(size=(30, 8)) * 20)
+    own = rng.random((30, 700)) < 0.01
+    score = np.where(own, -np.inf, q @ x.T)
+    for kind in (np.float64, np.float32) if np.abs(x).max() * np.abs(q).max() * 8 < 2**24 else (np.float64,):
+        for floor in (None, np.full(30, -np.inf), np.sort(score, axis=1)[:, -3], np.full(30, 2.0**62), np.where(np.arange(30) % 2, 0, -np.inf)):
+            for i, found in enumerate(nra(x.astype(kind), q.astype(kind), 5, own, None, floor)):
+                best = np.sort(score[i])[-5]
+                must = np.flatnonzero((score[i] >= max(best, -np.inf if floor is None else floor[i])) & ~own[i])
+                assert set(must) <= set(found) and not own[i][found].any()
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_near_vectors(spark, kind):
     rng = np.random.default_rng(2)
