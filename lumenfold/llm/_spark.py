@@ -76,6 +76,14 @@ def release() -> None:
 atexit.register(release)
 
 
+def merge_join(rows: DataFrame, table: DataFrame, on, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` by sorting both, whatever the planner takes their sizes for.
+
+    Its estimates are of compressed bytes: tables that grow with the input would be broadcast by way of the driver, several at once.
+    """
+    return rows.join(table.hint("merge"), on, how)
+
+
 def hot_lookup(rows: DataFrame, table: DataFrame, key: list[str], count: str, spread: str, values: list[str]) -> DataFrame:
     """``rows`` left-joined with ``table`` on ``key``, where a few keys may hold most rows.
 
@@ -88,7 +96,7 @@ def hot_lookup(rows: DataFrame, table: DataFrame, key: list[str], count: str, sp
     cold = table.filter(F.col(count) <= F.lit(total * HOT_SHARE)).select(*[F.col(k).alias(f"__c_{k}") for k in key], *[F.col(v).alias(f"__c_{v}") for v in values], F.least(F.col(count), F.lit(0)).cast("long").alias("__c_way"))  # 0, but no literal: it must stay part of the join key
     met = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"__h_{k}") for k in key], "left")
     met = met.withColumn("__way", F.when(F.col("__h"), F.xxhash64(F.col(spread)).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
-    out = met.join(cold, [F.col("__way") == F.col("__c_way"), *[F.col(k) == F.col(f"__c_{k}") for k in key]], "left")
+    out = merge_join(met, cold, [F.col("__way") == F.col("__c_way"), *[F.col(k) == F.col(f"__c_{k}") for k in key]], "left")
     return out.select(*[F.col(c) for c in rows.columns], *[F.coalesce(F.col(f"__h_{v}"), F.col(f"__c_{v}")).alias(v) for v in values])
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm._spark import bound_batches, connected_components, hot_lookup, materialize
+from lumenfold.llm._spark import bound_batches, connected_components, hot_lookup, materialize, merge_join
 from lumenfold.llm._text import Known, mix, pieces, row_of, tenant, word_hashes, words
 
 CHUNKS, CHUNK_SYMBOLS, ERRORS = 10, 7, 1
@@ -226,13 +226,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     hub = F.min("doc").over(Window.partitionBy("key"))
     ties = keyed.select("doc", F.coalesce("via", hub).alias("hub")).filter("doc <> hub")
     families = connected_components(ties)
-    families = families.join(classes.select("node", "cls", "n", "h1", "sig"), "node")
+    families = merge_join(families, classes.select("node", "cls", "n", "h1", "sig"), "node")
     extent = families.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     extent = extent.select("component", "members", F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = hot_lookup(families, extent, ["component"], "members", "node", ["blocks"])
     members = members.select("node", F.col("cls").alias("doc"), "h1", "sig", F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    packed = texts.join(members, "doc").drop("doc").mapInArrow(_sets(width), "node long, sig binary, family long, blocks int, block int, shingles binary")
+    packed = merge_join(texts, members, "doc").drop("doc").mapInArrow(_sets(width), "node long, sig binary, family long, blocks int, block int, shingles binary")
     packed = materialize(packed, "sets")
     # each block alone, the family's head in every one
     head = F.col("node") == F.col("family")
@@ -242,10 +242,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     if packed.filter("blocks > 1").limit(1).count():
         links = links.unionByName(_links_between_blocks(packed, found, percent))
         found = connected_components(links)
-    named = found.join(classes.select("node", "cls"), "node")
+    named = merge_join(found, classes.select("node", "cls"), "node")
     least = named.groupBy("component").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("size"))
     named = hot_lookup(named, least, ["component"], "size", "node", ["least"])
-    state = classes.select("node", "h1", "h2", "copies", "cls").join(named.select("node", F.col("component").alias("root"), "least"), "node", "left")
+    state = merge_join(classes.select("node", "h1", "h2", "copies", "cls"), named.select("node", F.col("component").alias("root"), "least"), "node", "left")
     state = state.select("h1", "h2", "copies", "cls", F.coalesce("least", "cls").alias("component"), F.coalesce("root", "node").alias("group_id"))
     known = ["doc_id", "text_hash", "n_shingles"]
     joined = hot_lookup(sets.select(*known, "h1", "h2"), state, ["h1", "h2"], "copies", "text_hash", ["cls", "component", "group_id"])
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def _links_between_blocks(packed: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """The links of documents that are not linked to their family's head with those in the family's other blocks."""
     slim = packed.filter("blocks > 1").select("node", "family", "blocks", "block").distinct()
-    slim = slim.join(found, "node", "left").select("node", "family", "blocks", "block", F.coalesce("component", "node").alias("root"))
+    slim = merge_join(slim, found, "node", "left").select("node", "family", "blocks", "block", F.coalesce("component", "node").alias("root"))
     heads = slim.groupBy("family").agg(F.max(F.when(F.col("node") == F.col("family"), F.col("root"))).alias("head"), F.count(F.lit(1)).alias("members"))
     slim = materialize(hot_lookup(slim, heads, ["family"], "members", "node", ["head"]).withColumn("stray", F.col("root") != F.col("head")), "members")
     sizes = slim.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.count_if("stray").alias("strays"))
@@ -268,7 +268,7 @@ def _links_between_blocks(packed: DataFrame, found: DataFrame, percent: int) ->
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     asked = dealt.filter("stray").select("node", "family", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("group"), F.explode(every("blocks")).alias("block"))
     others = dealt.select("node", "family", F.explode(every("groups")).alias("group"), "block")
-    meets = asked.unionByName(others).distinct().join(packed.select("node", "sig", "shingles"), "node")
+    meets = merge_join(asked.unionByName(others).distinct(), packed.select("node", "sig", "shingles"), "node")
     return materialize(meets.groupBy("family", "group", "block").applyInArrow(_block_links(percent), "a long, b long"), "links")
 
 
@@ -285,7 +285,7 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     stays = materialize(grouped.unionByName(judged.filter("group_id is null").select("doc_id", "text_hash")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).distinct(), "kept")
     text = F.col("text").cast("string")
     same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(text, text.isNull()) == F.col("__th"))
-    out = docs.join(stays, same, "left_semi")
+    out = merge_join(docs, stays, same, "left_semi")
     repeated = judged.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if repeated.limit(1).count():
         first = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy(F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])))

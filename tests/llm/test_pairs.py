@@ -356,3 +356,27 @@ def test_minhash_ties_to_document_minus_one():
     sig = pa.array([np.ones(minhash.SYMBOLS, np.uint16).tobytes()] * len(ids), pa.binary())
     rows = [r for b in minhash._keyed([pa.RecordBatch.from_arrays([pa.array(ids), sig], names=["doc_id", "sig"])]) for r in b.to_pylist()]
     assert {r["via"] for r in rows if r["doc"] != -1} == {-1} and {r["via"] for r in rows if r["doc"] == -1} == {None}
+
+
+def test_near_duplicates_broadcast_hot_keys_alone(spark, monkeypatch):
+    """Only tables bounded by HOT_SHARE go by way of the driver, however small the planner takes the others for."""
+    from lumenfold.llm import _spark
+
+    plans = []
+    written = _spark.materialize
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    for module in (minhash, _spark):
+        monkeypatch.setattr(module, "materialize", seen)
+    docs = table(spark, near_texts())
+    out = near_duplicates(docs)
+    kept = deduplicated(docs)
+    for df in (out, kept):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert joins and all("__h_" in line for line in joins), [line for line in joins if "__h_" not in line]
+    assert any("SortMergeJoin" in plan for plan in plans)
