@@ -237,3 +237,85 @@ def test_many_curves_has_every_user(spark, monkeypatch):
     monkeypatch.setattr(search, "search", lambda lc, *a, **k: (seen.append(lc.select("lc_id").distinct().count()) or lc.selectExpr("lc_id", "0 period", "0 SDE", "0 FAP", "0 T0", "0 duration", "0 depth"), None))
     registry.queries()["many_curves"](spark, "/root/testdata/sf0.001")
     assert seen == [15]
+
+
+def long_curve(n, dip=0.01, seed=8):
+    rng = np.random.default_rng(seed)
+    t = np.sort(rng.uniform(1, 31, n))
+    return t, 1 + 1e-3 * (rng.exponential(50, n) - 49) / 49 - dip * (np.abs((t - 1.5 + 1.85) % 3.7 - 1.85) < 0.1), rng
+
+
+@pytest.mark.parametrize(("dip", "varied"), [(0.01, False), (0.0, False), (0.01, True)])
+def test_bounds_lose_nothing_and_leave_few_places(raw, monkeypatch, dip, varied):
+    """Against every place of every width; on a curve with a dip few places are worked out in full."""
+    t, y, rng = long_curve(20_000, dip)
+    dy = rng.uniform(0.5, 2, len(t)) * y.std() if varied else np.full(len(t), y.std())
+    p = SearchParams().validated()
+    c = search._Curve(t, y, dy, raw, p)
+    done, places, own = [], 0, kernel.products_at
+    monkeypatch.setattr(kernel, "products_at", lambda x, s, at, *a: done.append(len(at)) or own(x, s, at, *a))
+    for period in (3.7, 1.234, 7.7):
+        got = kernel.best_at(period, c.t, c.y, c.dy, c.templates, c.widths, c.rows, p)
+        order = np.argsort(t / period - np.floor(t / period), kind="stable")
+        d, iv = (np.concatenate([x[order], x[order][: c.templates.maxwidth]]) for x in (1 - y, 1 / dy**2))
+        sums, chi = (np.concatenate([[0], np.cumsum(x)]) for x in (d, d * d * iv))
+        best = (float(len(t)), 0, 0.0)
+        for w in kernel.eligible(c.widths, period, len(t), t[-1] - t[0], p):
+            row = int(c.rows[list(c.widths).index(w)])
+            s = 1 - c.templates.signal[row]
+            at = np.arange(0, len(d) - w + 1, kernel.stride(int(w), p.T0_fit_margin))
+            mean = (sums[at + w] - sums[at]) / w
+            at, mean = at[mean > p.transit_depth_min], mean[mean > p.transit_depth_min]
+            places += len(at)
+            if len(at):
+                k = mean * c.templates.overshoot[row] / 0.5
+                b, q = np.correlate(d * iv, s)[at], np.correlate(iv, s * s)[at]
+                stat = chi[at + len(s)] - chi[at] - 2 * k * b + k * k * q + chi[len(t)] - (chi[at + w] - chi[at])
+                if stat.min() < best[0]:
+                    best = stat.min(), row, 1 - mean[stat.argmin()] * c.templates.overshoot[row]
+        assert got == pytest.approx(best, rel=1e-9)
+    assert not dip or sum(done) < places / 10
+
+
+@pytest.mark.parametrize(("n", "size", "step"), [(1000, 230, 7), (1000, 100, 50), (515, 500, 3), (90, 40, 40)])
+def test_strided_product(monkeypatch, n, size, step):
+    x, s = np.random.default_rng(0).normal(size=n), np.random.default_rng(1).normal(size=size)
+    want = np.correlate(x, s, mode="valid")[::step]
+    assert np.allclose(kernel.strided_product(x, s, step, len(want)), want)
+    monkeypatch.setattr(kernel, "BLOCK", 500)
+    assert np.allclose(kernel.strided_product(x, s, step, len(want)), want)
+    assert np.allclose(kernel.products_at(x, s, np.arange(len(want)) * step, step, len(want)), want)
+
+
+def test_no_row_holds_a_long_curve(spark):
+    """Chunks hold a batch's points at most, in order, and come together as the curve; an even error travels once."""
+    t, y, rng = long_curve(30_000)
+    parts = {"a": (t, y, np.full(len(t), 0.5)), "b": (t[:7], y[:7], rng.uniform(1, 2, 7))}
+    rows = [(name, i, *map(float, x)) for name, v in parts.items() for i, x in enumerate(zip(*v, strict=True))]
+    rng.shuffle(rows)
+    lc = spark.createDataFrame([tuple([str(r[0]), int(r[1]), *map(float, r[2:])]) for r in rows], "lc_id string, idx long, t double, y double, dy double")
+    chunks = lightcurve.chunks(lc, 3)
+    sizes = chunks.selectExpr("length(t) div 8 n", "length(dy) div 8 e", "lc_id").collect()
+    assert sum(r["n"] for r in sizes) == 30_007 and max(r["n"] for r in sizes) <= 10_000 and all(r["e"] == 1 for r in sizes if r["lc_id"] == "a")
+    batches = chunks.orderBy("lc_id", "t0", "idx0").select("lc_id", "t", "y", "dy").toArrow().to_batches()
+    got = {name: v for (name,), *v in lightcurve.whole(batches, 1)}
+    assert set(got) == {"a", "b"} and all(np.array_equal(x, z) for name in got for x, z in zip(got[name], parts[name], strict=True))
+
+
+def test_spectra_that_stay_give_the_same_rows(spark, monkeypatch):
+    """Many curves' spectra are summed up where they are made; the result is that of spectra that travel."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k, n in enumerate((5, 60, 90, 700)):
+        t = np.sort(rng.uniform(1, 31, n))
+        y = 1 + rng.normal(0, 1e-3, n) - 0.01 * (np.abs((t - 2) % 3 - 0.1) < 0.12)
+        rows += [(f"c{k}", i, float(a), float(b), None) for i, (a, b) in enumerate(zip(t, y, strict=True))]
+    lc = spark.createDataFrame(rows, "lc_id string, idx long, t double, y double, dy double")
+    p = SearchParams(period_min=1, period_max=9)
+    (far, wide), (near, own) = search.search(lc, p, buckets=3), search.search(lc, p, buckets=1)
+    a, b = ([r.asDict(recursive=True) for r in x.orderBy("lc_id").collect()] for x in (far, near.select(far.columns)))
+    for x, z in zip(a, b, strict=True):
+        assert (x["lc_id"], x["fit"], x["period"], x["row"], x["T0"]) == (z["lc_id"], z["fit"], z["period"], z["row"], z["T0"])
+        for c in ("depth", "i", "power", "chi2_min", "SDE", "SDE_raw", "duration", "period_uncertainty", "snr", "in_transit_count"):
+            assert x[c] == (None if z[c] is None else pytest.approx(z[c], rel=1e-9))
+    assert wide.count() == own.count() and wide.exceptAll(own.select(wide.columns)).count() == 0
