@@ -319,3 +319,31 @@ def test_spectra_that_stay_give_the_same_rows(spark, monkeypatch):
         for c in ("depth", "i", "power", "chi2_min", "SDE", "SDE_raw", "duration", "period_uncertainty", "snr", "in_transit_count"):
             assert x[c] == (None if z[c] is None else pytest.approx(z[c], rel=1e-9))
     assert wide.count() == own.count() and wide.exceptAll(own.select(wide.columns)).count() == 0
+
+
+@pytest.mark.parametrize("part", [64, 1 << 18])
+def test_model_in_parts(spark, raw, monkeypatch, part):
+    """The model as one array, against parts that are made each for itself."""
+    monkeypatch.setattr(model, "PART", part)
+    p = SearchParams().validated()
+    want = {}
+    for name, n, period, t0, share in (("a", 700, 3.7, 1.5, 0.054), ("b", 90, 11.0, 2.0, 0.3), ("c", 5, 1.0, 1.2, 0.1)):
+        mids = t0 + period * np.arange(max(1, int(np.ceil((30 - t0) / period))))
+        samples = int(n / len(mids)) * 5
+        one = model.single_transit(samples, share, 0.9, 0.98, raw) if samples else np.ones(0)
+        at = [mids[0] - period, *mids, mids[-1] + period]
+        t, y = np.concatenate([np.linspace(m - period / 2, m + period / 2, samples) for m in at]), np.tile(one, len(at))
+        lo, hi = (int(np.argmax(t > v)) for v in (1.0, 30.0)) if samples else (0, 0)
+        want[name] = n, period, t0, share, t[lo:hi], y[lo:hi]
+        if samples:
+            got = model._Transit(samples, share, 0.9, 0.98, raw)
+            assert np.allclose(got.at(np.arange(samples)), one, rtol=0, atol=1e-13) and np.array_equal(model._spaced(1.0, 2.0, samples, np.arange(samples)), np.linspace(1, 2, samples))
+            pieces = [b for part_ in range(-(-len(t) // part)) for b in model._model(raw)([model.pa.RecordBatch.from_pylist([{"lc_id": name, "n": n, "min_t": 1.0, "max_t": 30.0, "period": period, "duration": share, "stretch": 0.9, "depth": 0.98, "mids": mids.tolist(), "part": part_}])])]
+            assert max(b.num_rows for b in pieces) <= part
+            i, tt, yy = (np.concatenate([b.column(k).to_numpy() for b in pieces]) for k in (1, 2, 3))
+            assert np.array_equal(i, np.arange(hi - lo)) and np.array_equal(tt, t[lo:hi]) and np.allclose(yy, y[lo:hi], rtol=0, atol=1e-13)
+    rows = [(name, v[0], 1.0, 30.0, v[1], v[2], v[3], 0.9, 0.98) for name, v in want.items()]
+    found = spark.createDataFrame(rows, "lc_id string, n long, min_t double, max_t double, period double, T0 double, duration double, stretch double, depth double")
+    counts = {r["lc_id"]: r["count"] for r in model.model_light_curve(found, p).groupBy("lc_id").count().collect()}
+    # workers have their own PART
+    assert part == 64 or counts == {name: len(v[4]) for name, v in want.items() if len(v[4])}
