@@ -347,3 +347,11 @@ def test_model_in_parts(spark, raw, monkeypatch, part):
     counts = {r["lc_id"]: r["count"] for r in model.model_light_curve(found, p).groupBy("lc_id").count().collect()}
     # workers have their own PART
     assert part == 64 or counts == {name: len(v[4]) for name, v in want.items() if len(v[4])}
+
+
+@pytest.mark.parametrize("points", [45, 67, 400])
+def test_ends_of_many_periods(points):
+    p = SearchParams().validated()
+    periods = search._periods(30.0, p)
+    low, high = kernel.ends_of(periods, points, 30.0, p)
+    assert list(zip(low.tolist(), high.tolist(), strict=True)) == [kernel.eligible_ends(x, points, 30.0, p) for x in periods.tolist()]
